@@ -1,0 +1,3 @@
+"""Queries by name; each takes (spark, sf_dir)."""
+
+QUERIES = {}
