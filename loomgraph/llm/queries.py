@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.packing import op4_best_fit_packing
 from loomgraph.llm.sharding import op5_kd_shards
+from loomgraph.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_kd_shards": op5_kd_shards,
 }
 
