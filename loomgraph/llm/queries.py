@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomgraph.llm.language_id import op1_language_id
+from loomgraph.llm.near_dups import op3_bottom_k
 from loomgraph.llm.packing import op4_best_fit_packing
 from loomgraph.llm.quality import op7_byte_cnn
 from loomgraph.llm.secrets import op8_blob_ledger
@@ -12,6 +13,7 @@ from loomgraph.llm.token_files import op2_token_files
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
+    "op3_bottom_k": op3_bottom_k,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_kd_shards": op5_kd_shards,
     "op7_byte_cnn": op7_byte_cnn,
