@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomgraph.llm.language_id import op1_language_id
+from loomgraph.llm.line_dedup import op10_fuzzy_lines
 from loomgraph.llm.near_dups import op3_bottom_k
 from loomgraph.llm.packing import op4_best_fit_packing
 from loomgraph.llm.quality import op7_byte_cnn
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_kd_shards": op5_kd_shards,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_blob_ledger": op8_blob_ledger,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
 ORACLES: dict[str, str] = {}
