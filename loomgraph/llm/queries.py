@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.decontamination import op9_simhash_windows
 from loomgraph.llm.language_id import op1_language_id
 from loomgraph.llm.line_dedup import op10_fuzzy_lines
 from loomgraph.llm.near_dups import op3_bottom_k
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_kd_shards": op5_kd_shards,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_blob_ledger": op8_blob_ledger,
+    "op9_simhash_windows": op9_simhash_windows,
     "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
