@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0xD6E8FEB86659FD93
+_SHORT = 32  # documents of an inverted list whose pairs are looked at one by one
 _BLOCK = 256  # documents of a group that meet in one task at a time
 
 
@@ -127,7 +129,8 @@ def sketched(documents: DataFrame, how: NearDups) -> DataFrame:
 
 
 def candidate_edges(sketches: DataFrame, how: NearDups, scratch: Scratch) -> DataFrame:
-    """Edges (u, v) that join all documents that may be linked: from each inverted list its first to the others.
+    """Edges (u, v) that join all documents that may be linked: of an inverted list of up to 32 documents the
+    pairs whose sketches' union lets it be, of a longer one from its first to all others.
 
     Two linked sketches share ``least`` values (for sets smaller than a sketch, the overlap that the
     threshold asks for). So, of a document's values in order of rarity, all but its last ``least - 1``
@@ -142,8 +145,21 @@ def candidate_edges(sketches: DataFrame, how: NearDups, scratch: Scratch) -> Dat
     room = F.size("values") - F.col("least") + 1
     heads = ranked.where(room > 0).select("doc_id", F.explode(F.slice("values", F.lit(1), room)).alias("head"))
     lists = scratch.save(heads.select("doc_id", "head.value"), "lists")
-    firsts = lists.groupBy("value").agg(F.min("doc_id").alias("u"))
-    return lists.join(firsts, "value").where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
+    sizes = lists.groupBy("value").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1")
+    sized = scratch.save(lists.join(sizes, "value"), "sized")
+    all_of = sized.where(F.col("size") <= _SHORT).groupBy("value").agg(F.sort_array(F.collect_list("doc_id")).alias("all")).select(F.posexplode("all").alias("i", "u"), "all")
+    pairs = all_of.select("u", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("v")).distinct()
+
+    @F.pandas_udf("double")
+    def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b = ([np.asarray(x, np.int64).view(np.uint64) for x in side] for side in (a, b))
+        return pd.Series(_estimates(a, b, np.stack([np.arange(len(a))] * 2, 1), how.k))
+
+    left = sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a"))
+    right = sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b"))
+    alike = pairs.join(left, "u").join(right, "v").where(estimate("a", "b") >= how.percent / 100 - how.margin).select("u", "v")
+    long = sized.where((F.col("size") > _SHORT) & (F.col("doc_id") != F.col("first"))).select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
+    return alike.union(long)
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
