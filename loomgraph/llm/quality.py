@@ -128,8 +128,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, bound: int = DOCUMENTS_
     return ByteCnn.fit([_bytes(r["text"]) for r in rows], np.array([r["quality"] for r in rows]))
 
 
-def score_quality(documents: DataFrame, net: ByteCnn) -> DataFrame:
-    """Add ``score`` to the rows, reading nothing but ``text``, all of it; a null text scores as an empty one."""
+def score_quality(documents: DataFrame, net: ByteCnn, column: str = "score") -> DataFrame:
+    """Add the score as ``column`` to the rows, reading nothing but ``text``, all of it; a null text scores as
+    an empty one. Other columns pass through."""
     fields = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +142,11 @@ def score_quality(documents: DataFrame, net: ByteCnn) -> DataFrame:
                 if size > _BATCH_BYTES or i == len(data) - 1:
                     scores.append(net.score(some))
                     some, size = [], 0
-            column = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*fields.names, "score"])
+            values = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*fields.names, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return documents.mapInArrow(run, f"{schema}, score double")
+    return documents.mapInArrow(run, f"{schema}, `{column}` double")
 
 
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from loomgraph.llm.quality import op7_byte_cnn
 from loomgraph.llm.secrets import op8_blob_ledger
 from loomgraph.llm.sharding import op5_kd_shards
 from loomgraph.llm.token_files import op2_token_files
+from loomgraph.llm.vector_search import op6_anisotropic
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_bottom_k": op3_bottom_k,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_kd_shards": op5_kd_shards,
+    "op6_anisotropic": op6_anisotropic,
     "op7_byte_cnn": op7_byte_cnn,
     "op8_blob_ledger": op8_blob_ledger,
     "op9_simhash_windows": op9_simhash_windows,
