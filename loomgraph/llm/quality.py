@@ -77,8 +77,9 @@ class ByteCnn:
         back = g[:, None] * self.head[: 3 * FILTERS]
         of = np.repeat(np.arange(len(data)), hops)
         down = back[of, :FILTERS] / hops[of, None]
-        down += back[of, FILTERS : 2 * FILTERS] * (chunk == low[of])
-        down += back[of, 2 * FILTERS :] * (chunk == high[of])
+        for part, end in ((slice(FILTERS, 2 * FILTERS), low), (slice(2 * FILTERS, None), high)):
+            at_end = (chunk == end[of]).astype(np.float64)  # chunks that tie share the gradient
+            down += back[of, part] * at_end / np.add.reduceat(at_end, starts, axis=0)[of]
         down *= chunk > 0
         hop = np.where(tops[first] >= tops[follows], first[:, None], follows[:, None])
         at, f = np.nonzero(down)
