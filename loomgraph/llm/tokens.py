@@ -57,23 +57,19 @@ class WordEncoder:
         it ends a word (a mark behind the word makes one more), a byte-level one that a space opens it.
         """
         if self.drops_space:
-            plain = [(w, 1) for w in words if w.isalpha()] + [(w, 2) for w in words if w[-1] in ".," and w[:-1].isalpha()]
+            kinds = [([w for w in words if w.isalpha()], 1), ([w for w in words if w[-1] in ".," and w[:-1].isalpha()], 2)]
         else:
-            plain = [(w, 1) for w in words if w[0] == " " and w[1:2] not in _SPACES]
-        for k in range(0, len(plain), _WORDS_AT_ONCE):
-            some = plain[k : k + _WORDS_AT_ONCE]
-            text = (" " if self.drops_space else "").join([w for w, _ in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            marks = np.flatnonzero(self.marked[ids])
-            if self.drops_space:
-                ends = np.cumsum([n for _, n in some]) - 1
-                cuts = [0, *(marks[ends] + 1).tolist()] if len(marks) == ends[-1] + 1 else None
-            else:
-                cuts = [*marks.tolist(), len(ids)] if len(marks) == len(some) else None
-            if cuts:
-                data, size = ids.tobytes(), self.dtype.itemsize
-                for (w, _), a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
-                    self.known[w] = data[a * size : b * size]
+            kinds = [([w for w in words if w[0] == " " and w[1:2] not in _SPACES], 1)]
+        size, between = self.dtype.itemsize, " " if self.drops_space else ""
+        for plain, tokens in kinds:
+            for k in range(0, len(plain), _WORDS_AT_ONCE):
+                some = plain[k : k + _WORDS_AT_ONCE]
+                ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+                marks = np.flatnonzero(self.marked[ids])
+                if len(marks) == tokens * len(some):  # else they are encoded one by one below
+                    cuts = np.concatenate([[0], marks[tokens - 1 :: tokens] + 1] if self.drops_space else [marks, [len(ids)]])
+                    cuts, data = (cuts * size).tolist(), ids.tobytes()
+                    self.known.update(zip(some, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         rest = [w for w in words if w not in self.known]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, self.dtype).tobytes()
