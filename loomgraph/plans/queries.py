@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids
 from loomgraph.functions.text import author_name, short_time, split_lines, truncate
 from loomgraph.operators import graph, recrawl
-from loomgraph.plans import lenses
+from loomgraph.plans import lenses, render
 from loomgraph.schema import Webs
+from loomgraph.sources import webjson, wire
 from loomgraph.sources.testdata import conversations_web as C
 from loomgraph.sources.testdata import events_web as E
 from loomgraph.sources.testdata import orders_web as O  # noqa: E741, N812
@@ -27,7 +32,7 @@ def _query(source=None):
     """Register a function of (webs) or (webs, scratch) under its own name."""
 
     def register(f):
-        name, wants = f.__name__, f.__code__.co_argcount
+        name, wants = f.__name__.rstrip("_"), f.__code__.co_argcount
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             first = source(spark, sf_dir) if source else spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -188,10 +193,44 @@ def short_time_author_truncate(w: Webs) -> DataFrame:
 
 
 @_query(C)
-def split_text_lines(w: Webs) -> DataFrame:
+def split_lines_(w: Webs) -> DataFrame:
     return w.posts.select("uri", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).select("uri", *_long("line_no"), "line")
 
 
+def _response(key: tuple, turns: pd.DataFrame) -> pd.DataFrame:
+    """A thread as the network would send it: each turn a reply to the one before."""
+    node = None
+    for t in turns.sort_values("post_ord", ascending=False).to_dict("records"):
+        record = {"text": t["text"], "createdAt": t["created_at"]}
+        if t["reply_parent"]:
+            record["reply"] = {"root": {"uri": t["thread_root"]}, "parent": {"uri": t["reply_parent"]}}
+        author = {"did": t["did"], "handle": t["handle"], "displayName": t["display_name"]}
+        view = {"uri": t["uri"], "cid": t["cid"], "author": author, "record": record, "likeCount": t["like_count"], "repostCount": t["repost_count"]}
+        node = {"$type": "app.bsky.feed.defs#threadViewPost", "post": view, "replies": [node] if node else []}
+    return pd.DataFrame({"web_id": [key[0]], "uri": [turns["thread_root"].iloc[0]], "body": [json.dumps({"thread": node})]})
+
+
+@_query(C)
+def wire_flatten(w: Webs) -> DataFrame:
+    """The conversations as network responses, flattened to posts again."""
+    turns = w.posts.select("web_id", "thread_ord", "post_ord", "thread_root", "uri", "cid", "author.*", "text", "created_at", "reply_parent", "like_count", "repost_count")
+    bodies = turns.groupBy("web_id", "thread_ord").applyInPandas(_response, "web_id string, uri string, body string")
+    return wire.thread_posts(bodies).select("response_root", *_long("ord"), "uri", F.col("author.handle").alias("handle"), "text", "reply_parent", F.col("like_count").alias("likes"))
+
+
+@_query(C)
+def raw_json(w: Webs) -> DataFrame:
+    """The web as one document."""
+    return webjson.web_documents(w)
+
+
+@_query(C)
+def lens_texts(w: Webs, scratch: Scratch) -> DataFrame:
+    """The web through every lens that needs no parameters, as text."""
+    texts = [render.render(w, lens, scratch).select(F.lit(lens).alias("lens"), "text") for lens in ("tree", "linear", "by-author", "stats", "threads", "highlights", "neighborhood", "timeline")]
+    return reduce(DataFrame.unionByName, texts)
+
+
 @_query(C)
 def pending_quote_scan(w: Webs) -> DataFrame:
     """Posts to scan again when only the edges with even numbers were known."""
