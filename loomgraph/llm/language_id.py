@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.samples import held_out, labelled_sample
+from loomgraph.llm.worker import parts, release
 
 DOCUMENTS_A_LANGUAGE = 400  # the sample's bound
 _BITS = 14
@@ -160,19 +161,16 @@ def predict_language(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            texts, out = batch.column("text").to_pylist(), []
-            some, size = [], 0
-            for i, t in enumerate(texts):
-                out.append(("und", 0.0))
-                if t and _LETTER.search(t):
-                    some.append(i)
-                    size += len(t)
-                if some and (size > _BATCH_BYTES or i == len(texts) - 1):
-                    for k, found in zip(some, model.predict([texts[k] for k in some]), strict=True):
-                        out[k] = found
-                    some, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            for part in parts(batch.column("text"), _BATCH_BYTES):
+                rows = batch.slice(part.start, part.stop - part.start)
+                texts = rows.column("text").to_pylist()
+                some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+                out = [("und", 0.0)] * len(texts)
+                for i, found in zip(some, model.predict([texts[i] for i in some]) if some else (), strict=True):
+                    out[i] = found
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return documents.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 

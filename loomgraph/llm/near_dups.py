@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.scratch import Scratch
+from loomgraph.llm.worker import hold, parts
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = 0xD6E8FEB86659FD93
 _SHORT = 32  # documents of an inverted list whose pairs are looked at one by one
+_BATCH_BYTES = 1 << 19
 _BLOCK = 256  # documents of a group that meet in one task at a time
 
 
@@ -55,18 +57,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 _SYMBOL = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_table = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def _powers(n: int) -> list[np.ndarray]:
     """At least ``n`` powers of the odd multiplier and of its inverse, modulo 2^64."""
-    if len(_table[0]) < n:
+    table = hold("powers", lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    if len(table[0]) < n:
         for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            steps = np.full(2 * n, np.uint64(base))
+            steps = np.full(n + n // 4, np.uint64(base))
             steps[0] = 1
             with np.errstate(over="ignore"):
-                _table[k] = np.multiply.accumulate(steps)
-    return _table
+                table[k] = np.multiply.accumulate(steps)
+    return table
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -103,23 +103,14 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def _batches_of(texts: list, limit: int = 1 << 20) -> Iterator[slice]:
-    a, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > limit or i == len(texts) - 1:
-            yield slice(a, i + 1)
-            a, size = i + 1, 0
-
-
 def sketched(documents: DataFrame, how: NearDups) -> DataFrame:
     """doc_id, n_shingles, set_key (a 128-bit digest of the set; null for an empty one), sketch (sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for part in _batches_of(texts):
-                sets = shingle_sets(texts[part], how.words)
+            texts, ids = batch.column("text"), batch.column("doc_id")
+            for part in parts(texts, _BATCH_BYTES):
+                sets = shingle_sets(texts[part.start : part.stop].to_pylist(), how.words)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
                 heads = [s[: how.k].view(np.int64) for s in sets]
                 lists = pa.ListArray.from_arrays(np.cumsum([0] + [len(h) for h in heads]).astype(np.int32), pa.array(np.concatenate(heads) if heads else [], pa.int64()))
@@ -271,11 +262,11 @@ def link_edges(groups: DataFrame, sketches: DataFrame, documents: DataFrame, how
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             heads = list(zip(zip(*(batch.column(c).to_pylist() for c in ("group", "level", "x", "y")), strict=True), *(batch.column(c).to_pylist() for c in ("side", "near", "doc_id")), strict=True))
             edges = []
-            for part in _batches_of(texts):
-                for head, own in zip(heads[part], shingle_sets(texts[part], how.words), strict=True):
+            for part in parts(texts, _BATCH_BYTES):
+                for head, own in zip(heads[part], shingle_sets(texts[part.start : part.stop].to_pylist(), how.words), strict=True):
                     if head[0] != now:
                         edges += settle(rows)
                         now, rows = head[0], []
@@ -286,8 +277,8 @@ def link_edges(groups: DataFrame, sketches: DataFrame, documents: DataFrame, how
     keys = ["group", "level", "x", "y"]
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = _meetings(groups, sketches, how).join(texts, "doc_id")
-    parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return met.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+    tasks = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, how: NearDups = NearDups()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.samples import held_out, labelled_sample
+from loomgraph.llm.worker import parts, release
 
 DOCUMENTS_A_LABEL = 1000  # the sample's bound
 THRESHOLD = 0.3
@@ -18,7 +19,7 @@ FILTERS, WIDTH, STRIDE = 32, 6, 2
 HOP = 128  # bytes; a chunk is two hops, so chunks overlap by half
 _WINDOWS = HOP // STRIDE
 _BATCH, _RATE, _STEPS, _EPOCHS = 40, 0.01, 400, (8, 40)  # about so many steps; least and most passes
-_BATCH_BYTES = 1 << 19
+_BATCH_BYTES = 1 << 18
 
 
 def _layout(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,16 +136,12 @@ def score_quality(documents: DataFrame, net: ByteCnn, column: str = "score") ->
     fields = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            data, scores, some, size = [_bytes(t) for t in batch.column("text").to_pylist()], [], [], 0
-            for i, d in enumerate(data):
-                some.append(d)
-                size += len(d)
-                if size > _BATCH_BYTES or i == len(data) - 1:
-                    scores.append(net.score(some))
-                    some, size = [], 0
-            values = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*fields.names, column])
+            for part in parts(batch.column("text"), _BATCH_BYTES):
+                rows = batch.slice(part.start, part.stop - part.start)
+                scores = net.score([d or b"" for d in rows.column("text").cast(pa.binary()).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], [*fields.names, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return documents.mapInArrow(run, f"{schema}, `{column}` double")

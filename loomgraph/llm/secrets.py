@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.scratch import Scratch
+from loomgraph.llm.worker import parts, release
 
 
 @dataclass(frozen=True)
@@ -60,9 +61,12 @@ def find_spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, in
 
 def _scan(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    release()
     for batch in batches:
-        spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t, rules)] for t in batch.column("content").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(spans, spans_type)], ["blob", "spans"])
+        for part in parts(batch.column("content"), 1 << 20):
+            rows = batch.slice(part.start, part.stop - part.start)
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t, rules)] for t in rows.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("blob"), pa.array(spans, spans_type)], ["blob", "spans"])
 
 
 def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from loomgraph.llm.worker import hold
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words kept by a worker; beyond it the cache starts anew, which costs time only.
@@ -89,11 +91,6 @@ class WordEncoder:
         return [self._ids(t) if x is None else b"".join(x) for t, x in zip(texts, ids, strict=True)]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return hold(f"tokens {path}", lambda: WordEncoder(path))
