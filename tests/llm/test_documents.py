@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from loomgraph.llm import language_id, packing, quality, secrets, sharding, token_files
 from loomgraph.llm.decontamination import decontaminated, find_items
-from loomgraph.llm.line_dedup import LineDedup, dedup_lines
+from loomgraph.llm.line_dedup import LineDedup, across_components, dedup_lines
 from loomgraph.llm.near_dups import NearDups, near_duplicates, shingle_sets
 from loomgraph.llm.scratch import Scratch
 from loomgraph.llm.tokens import WordEncoder
@@ -323,6 +323,31 @@ def test_a_common_line_in_many_versions(spark):
     assert [r.doc_id for r in out] == [0]
 
 
+def test_near_copies_within_a_large_family_of_lines(spark):
+    rng = random.Random(31)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, rows = say(85), []
+    for i in range(150):
+        own = say(22)
+        rows += [(2 * i, common + own), (2 * i + 1, common + own[:14] + "-" + own[15:])]
+    gone = brute_lines(rows, LineDedup())
+    assert len(gone) >= 150
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in out if r.n_removed} == {d for d, _ in gone}
+
+
+def test_components_of_a_long_list_meet_in_blocks(spark):
+    rng = random.Random(32)
+    common = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(110))
+    lines = sorted({common[: rng.randint(60, 110)] + "".join(rng.choice("abc") for _ in range(rng.randint(5, 22))) for _ in range(300)})
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "key long, line string").repartition(3)
+    apart = texts.select("key", F.col("key").alias("component"))
+    found = {(r.u, r.v) for r in across_components(apart, texts, LineDedup(), Scratch(spark, "test")).collect()}
+    assert want and want <= found
+
+
 def test_decontamination(spark, documents, nothing):
     items = [" ".join(words(20 + 3 * k, 900 + k)) for k in range(8)] + ["tiny item", "", None, "one two three four five six seven"]
     benchmark = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)] + [(None, items[0], 1)], "item_id long, text string, row int")
