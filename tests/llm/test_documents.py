@@ -323,6 +323,12 @@ def test_a_common_line_in_many_versions(spark):
     assert [r.doc_id for r in out] == [0]
 
 
+def test_short_lines_repeat_too(spark):
+    rows = [(i, "\n".join(["}", "", " \t", "Return x", f"a line of no. {i % 3}", f"n{i}"])) for i in range(6)]
+    out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == rows[0][1] and [out[i] for i in range(1, 6)] == [f"\n \t\nn{i}" for i in range(1, 6)]
+
+
 def test_near_copies_within_a_large_family_of_lines(spark):
     rng = random.Random(31)
     say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
