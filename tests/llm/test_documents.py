@@ -324,11 +324,21 @@ def test_a_common_line_in_many_versions(spark):
 
 
 def test_short_lines_repeat_too(spark):
-    rows = [(i, "\n".join(["}", "", " \t", "Return x", f"a line of no. {i % 3}", f"n{i}"])) for i in range(6)]
+    rows = [(i, "\n".join(["}", "", " \t", "Return x", f"another line of no. {i % 3}", f"n{i}"])) for i in range(6)]
     out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[0] == rows[0][1] and [out[i] for i in range(1, 6)] == [f"\n \t\nn{i}" for i in range(1, 6)]
 
 
+def test_lines_of_a_repeated_pattern_and_of_wide_characters(spark):
+    rng = random.Random(33)
+    wide = "".join(chr(0x1F300 + rng.randint(0, 400)) for _ in range(60))
+    lines = ["-" * 40, "-" * 100, "=" * 30, "=" * 900, "ab cd efgh " * 8, "ab cd efgh " * 95, "ab cd efgh " * 70, wide + "end of it", wide + "end as it", wide[:30]]
+    rows = list(enumerate(lines))
+    gone = brute_lines(rows, LineDedup())
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_removed} == {d for d, _ in gone} == {1, 3, 5, 6, 8}
+
+
 def test_near_copies_within_a_large_family_of_lines(spark):
     rng = random.Random(31)
     say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
