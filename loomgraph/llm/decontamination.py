@@ -24,13 +24,15 @@ class Decontamination:
     Fingerprints have 64 bits, cut into ``radius`` + 1 blocks: two within the radius agree in a block at
     least. Sets alike by 0.8 differ in about 9.7 bits with a deviation of 2.9, so 19 bits leave out one in
     a thousand at the threshold, fewer above it, and equal windows never. ``broadcast_rows``: item shingles
-    up to which they are sent to all tasks; beyond it both sides are shuffled.
+    up to which they are sent to all tasks; beyond it both sides are shuffled. ``inside``: whether an item of
+    fewer words than a shingle is looked for at every place; else only where it is the whole document.
     """
 
     words: int = 5
     percent: int = 80
     radius: int = 19
     broadcast_rows: int = 500_000
+    inside: bool = True
 
 
 def _words(text: Column) -> Column:
@@ -65,6 +67,21 @@ def _counted(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode("hashes").alias("h")).groupBy(key, "h").agg(F.count("*").alias("c"))
 
 
+def _phrases(documents: DataFrame, items: DataFrame, how: Decontamination) -> list[DataFrame]:
+    """Matches of items (item_id, n_words, hashes) shorter than a shingle: their words in a row, at the first
+    place. One table for each number of words that they have."""
+    out = []
+    for n, size in items.where(F.col("n_words") < how.words).groupBy("n_words").count().collect():
+        own = items.where(F.col("n_words") == n).select("item_id", F.col("hashes")[0].alias("h"))
+        known = own.select("h").distinct()
+        if size <= how.broadcast_rows:
+            known = F.broadcast(known)
+        each = documents.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(_shingles(F.col("text"), n)["hashes"]).alias("start", "h"))
+        firsts = each.join(known, "h").groupBy("doc_id", "row", "h").agg(F.min("start").alias("start"))
+        out.append(firsts.join(own, "h").select("doc_id", "row", "item_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"), "start", F.lit(n).alias("n_words")))
+    return out
+
+
 def find_items(documents: DataFrame, benchmark: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """Every (doc_id, item_id) where the document has the item, with its best window: similarity (weighted
     Jaccard of word shingles, 0.8 or more), distance (of the fingerprints), start (word), n_words.
@@ -72,13 +89,17 @@ def find_items(documents: DataFrame, benchmark: DataFrame, how: Decontamination
     ``documents``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Words are runs of
     letters and digits, lower-cased; a shingle's weight is how often it occurs. A window has its item's
     number of words, fewer where the document is shorter. Items and documents without words match nothing;
-    rows equal in doc_id and text give one match; null ids are kept. Either table may be empty.
+    rows equal in doc_id and text give one match; null ids are kept. Either table may be empty. An item of
+    fewer words than a shingle matches where its words stand in a row.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "items")
     items = benchmark.where("text is not null").select("item_id", _shingles(F.col("text"), how.words).alias("s"))
     items = items.select("item_id", F.col("s.words").alias("n_words"), "s.hashes").where("n_words > 0")
     items = scratch.save(items.withColumn("item", F.xxhash64("item_id", "hashes")).dropDuplicates(["item"]), "items")
+    phrases = _phrases(documents, items, how) if how.inside else []
+    if how.inside:
+        items = items.where(F.col("n_words") >= how.words)
     places = items.select("item", "n_words", F.posexplode("hashes").alias("at", "h"))
     known = places.select("h").distinct()
     if (items.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= how.broadcast_rows:
@@ -109,12 +130,14 @@ def find_items(documents: DataFrame, benchmark: DataFrame, how: Decontamination
     matched = sizes.join(shared, ["window", "item"]).withColumn("union", F.col("a") + F.col("b") - F.col("shared")).where(100 * F.col("shared") >= how.percent * F.col("union"))
     matched = matched.select("window", "item", "distance", (F.col("shared") / F.col("union")).alias("similarity"))
     named = matched.join(windows.select("window", "doc_id", "row", "start", "n_words"), "window").join(items.select("item", "item_id"), "item")
+    named = reduce(DataFrame.unionByName, phrases, named.select("doc_id", "row", "item_id", "similarity", "distance", "start", "n_words"))
     best = F.min(F.struct((-F.col("similarity")).alias("worse"), "start", "n_words", "distance")).alias("best")
     return named.groupBy("doc_id", "row", "item_id").agg(best).select("doc_id", "row", "item_id", (-F.col("best.worse")).alias("similarity"), "best.distance", "best.start", "best.n_words")
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
-    """The documents that hold no item; their columns pass through."""
+def decontaminated(documents: DataFrame, benchmark: DataFrame, how: Decontamination = Decontamination(inside=False)) -> DataFrame:
+    """The documents that hold no item; their columns pass through. Unless told otherwise, an item of fewer
+    words than a shingle counts only where it is the whole document."""
     marked = find_items(documents, benchmark, how).select(F.col("row").alias("_row")).distinct()
     keyed = documents.withColumn("_row", F.xxhash64("doc_id", "text"))
     return keyed.join(marked, "_row", "left_anti").drop("_row")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomgraph.llm import language_id, packing, quality, secrets, sharding, token_files
-from loomgraph.llm.decontamination import decontaminated, find_items
+from loomgraph.llm.decontamination import Decontamination, decontaminated, find_items
 from loomgraph.llm.line_dedup import LineDedup, across_components, dedup_lines
 from loomgraph.llm.near_dups import NearDups, near_duplicates, shingle_sets
 from loomgraph.llm.scratch import Scratch
@@ -393,6 +393,15 @@ def test_decontamination(spark, documents, nothing):
     assert decontaminated(nothing, benchmark).count() == 0
 
 
+def test_short_benchmark_items(spark):
+    benchmark = spark.createDataFrame([(1, "Tiny item"), (2, "one, two three four"), (3, "solo"), (4, "item tiny")], "item_id long, text string")
+    rows = [(1, "here is a tiny ITEM, a tiny item"), (2, "zero one two three four five six"), (3, "solo"), (4, "one two three and four more words"), (5, "tiny"), (None, "so it goes solo, they say")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.start, r.n_words, r.similarity, r.distance) for r in find_items(table, benchmark).collect()}
+    assert found == {(1, 1, 3, 2, 1.0, 0), (2, 2, 1, 4, 1.0, 0), (3, 3, 0, 1, 1.0, 0), (None, 3, 3, 1, 1.0, 0)}
+    assert {r.doc_id for r in decontaminated(table, benchmark, Decontamination()).collect()} == {4, 5}
+
+
 def test_blob_addresses_are_sha256(spark):
     rows = spark.createDataFrame([("abc",)], "content string")
     found = secrets.scan_versions(rows, f"{Scratch(spark, 'test').root}/ledger").first()
