@@ -47,6 +47,14 @@ class Scratch:
         table._scratch_path = path
         return table
 
+    def save_bucketed(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """As :meth:`save`, in as many buckets by ``column`` as a shuffle has partitions, so that joins and
+        aggregations on it read the table as it lies."""
+        path, table = self.path(name), f"scratch_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, table: DataFrame) -> None:
         """Delete a table that no later plan reads."""
         path = getattr(table, "_scratch_path", None)

@@ -282,7 +282,7 @@ def brute_lines(rows, how):
     for doc_id, text in rows:
         for place, line in enumerate(text.split("\n")):
             low = line.strip(" ").lower()
-            if len(low) >= how.least:
+            if low.strip(" \t\r\f\v"):
                 keys.setdefault(low, {low[k : k + how.shingle] for k in range(max(1, len(low) - how.shingle + 1))})
                 spots[low].append((doc_id, place))
     names = sorted(keys)
