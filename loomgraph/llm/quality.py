@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.samples import held_out, labelled_sample
 from loomgraph.llm.worker import parts, release
 
-DOCUMENTS_A_LABEL = 1000  # the sample's bound
+DOCUMENTS_A_LABEL = 1000  # the sample's bound; samples.SAMPLE_BYTES bounds it, too
 THRESHOLD = 0.3
 FILTERS, WIDTH, STRIDE = 32, 6, 2
 HOP = 128  # bytes; a chunk is two hops, so chunks overlap by half
 _WINDOWS = HOP // STRIDE
 _BATCH, _RATE, _STEPS, _EPOCHS = 40, 0.01, 400, (8, 40)  # about so many steps; least and most passes
 _BATCH_BYTES = 1 << 18
+_SLAB = 512  # hops that are filtered at a time
 
 
 def _layout(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,18 +43,19 @@ class ByteCnn:
     head: np.ndarray
     shift: float
 
-    def windows(self, buffer: np.ndarray) -> np.ndarray:
+    def windows(self, buffer: np.ndarray, first: int) -> np.ndarray:
+        """What the filters say to the windows of up to ``_SLAB`` hops from a first one on: (hops, windows, filters)."""
+        buffer = buffer[first * HOP : (first + _SLAB) * HOP + WIDTH]
         n = (len(buffer) - WIDTH) // STRIDE
         z = np.take(self.tables[0], buffer[0 : n * STRIDE : STRIDE], axis=0)
         for j in range(1, WIDTH):
             z += np.take(self.tables[j], buffer[j : j + n * STRIDE : STRIDE], axis=0)
-        return z
+        return z.reshape(-1, _WINDOWS, FILTERS)
 
     def pooled(self, data: list[bytes]):
-        """Document features, and what the gradient needs."""
+        """Document features, and what the gradient needs. Windows exist for a slab of hops at a time."""
         buffer, hops = _layout(data)
-        z = self.windows(buffer).reshape(-1, _WINDOWS, FILTERS)
-        tops = z.max(1)
+        tops = np.concatenate([self.windows(buffer, a).max(1) for a in range(0, int(hops.sum()), _SLAB)])
         ends = np.cumsum(hops)
         starts = ends - hops
         first, follows = np.arange(len(tops)), np.arange(len(tops)) + 1
@@ -64,7 +66,7 @@ class ByteCnn:
         low, high = np.minimum.reduceat(chunk, starts, axis=0), np.maximum.reduceat(chunk, starts, axis=0)
         size = np.log1p(np.array([len(d) for d in data], np.float32)) / 10
         short = np.minimum(1, np.array([len(d) for d in data], np.float32) / HOP)
-        return np.concatenate([mean, low, high, size[:, None], short[:, None]], 1), (buffer, z, tops, first, follows, chunk, starts, hops, low, high)
+        return np.concatenate([mean, low, high, size[:, None], short[:, None]], 1), (buffer, tops, first, follows, chunk, starts, hops, low, high)
 
     def logits(self, features: np.ndarray) -> np.ndarray:
         return features @ self.head + self.shift
@@ -73,8 +75,18 @@ class ByteCnn:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(data)[0]), -30, 30)))
 
     def gradient(self, data: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        x, (buffer, z, tops, first, follows, chunk, starts, hops, low, high) = self.pooled(data)
-        g = (1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30))) - y) * weight / weight.sum()
+        """Of the weighted loss, summed over whole documents taken a few at a time, by their bytes."""
+        cuts, held = [0], 0
+        for i, d in enumerate(data):
+            if held and held + len(d) > _BATCH_BYTES:
+                cuts, held = [*cuts, i], 0
+            held += len(d)
+        sums = [self._gradient(data[a:b], y[a:b], weight[a:b]) for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+        return [sum(x) / weight.sum() for x in zip(*sums, strict=True)]
+
+    def _gradient(self, data: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        x, (buffer, tops, first, follows, chunk, starts, hops, low, high) = self.pooled(data)
+        g = (1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30))) - y) * weight
         back = g[:, None] * self.head[: 3 * FILTERS]
         of = np.repeat(np.arange(len(data)), hops)
         down = back[of, :FILTERS] / hops[of, None]
@@ -84,10 +96,15 @@ class ByteCnn:
         down *= chunk > 0
         hop = np.where(tops[first] >= tops[follows], first[:, None], follows[:, None])
         at, f = np.nonzero(down)
-        where, amount = hop[at, f], down[at, f]
-        window = z[where, :, f].argmax(1)
-        place = (where * _WINDOWS + window) * STRIDE
-        tables = np.stack([np.bincount(buffer[place + j].astype(np.int64) * FILTERS + f, amount, 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)])
+        where, amount, tables = hop[at, f], down[at, f], np.zeros((WIDTH, 256 * FILTERS))
+        order = np.argsort(where, kind="stable")
+        for a in range(0, len(tops), _SLAB):
+            rows = order[np.searchsorted(where, a, sorter=order) : np.searchsorted(where, a + _SLAB, sorter=order)]
+            window = self.windows(buffer, a).argmax(1)[where[rows] - a, f[rows]]
+            place = (where[rows] * _WINDOWS + window) * STRIDE
+            for j in range(WIDTH):
+                tables[j] += np.bincount(buffer[place + j].astype(np.int64) * FILTERS + f[rows], amount[rows], 256 * FILTERS)
+        tables = tables.reshape(WIDTH, 256, FILTERS)
         return [tables, down.sum(0), x.T @ g, np.array(g.sum())]
 
     @classmethod
@@ -124,7 +141,8 @@ def _bytes(text: str | None) -> bytes:
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, bound: int = DOCUMENTS_A_LABEL) -> ByteCnn:
-    """Fit on at most ``bound`` documents of each quality label; a document labelled twice differently counts as each."""
+    """Fit on at most ``bound`` documents of each quality label, and 16 MB of text of each (``labelled_sample``);
+    a document labelled twice differently counts as each."""
     marked = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").distinct()
     rows = labelled_sample(documents.where("text is not null").select("doc_id", "text").join(marked, "doc_id"), "quality", bound)
     return ByteCnn.fit([_bytes(r["text"]) for r in rows], np.array([r["quality"] for r in rows]))
@@ -132,7 +150,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, bound: int = DOCUMENTS_
 
 def score_quality(documents: DataFrame, net: ByteCnn, column: str = "score") -> DataFrame:
     """Add the score as ``column`` to the rows, reading nothing but ``text``, all of it; a null text scores as
-    an empty one. Other columns pass through."""
+    an empty one. Other columns pass through; one that has the name ``column`` is replaced."""
+    documents = documents.drop(column)
     fields = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

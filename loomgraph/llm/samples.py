@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-_STEPS = 1 << 30
+SAMPLE_BYTES = 16 << 20  # of text of each label
+_LONGEST = 1 << 20  # bytes of a text that a sample may hold
+_STEPS = 1 << 40
 
 
 def held_out(modulus: int, remainder: int):
@@ -13,19 +17,23 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def labelled_sample(rows: DataFrame, label: str, bound: int) -> list[Row]:
-    """At most ``bound`` rows of each label (few distinct ones), chosen by a hash of doc_id.
+def labelled_sample(rows: DataFrame, label: str, bound: int, max_bytes: int = SAMPLE_BYTES) -> list[Row]:
+    """At most ``bound`` rows and ``max_bytes`` of text of each label (few distinct ones), chosen by a hash of
+    doc_id and text; equal rows count once, so one key that many rows share, or no key, fills no sample.
 
-    Columns doc_id, text and ``label``, the last two not null. Only the chosen rows' texts reach the driver.
+    Columns doc_id, text and ``label``, the last two not null. Whole texts, of up to 1 MB each. Places and
+    lengths of about 1.2 times ``bound`` rows reach the driver first, then the texts of the chosen alone.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(_STEPS))
-    chosen = F.lit(False)
-    for value, n in counts.items():
-        chosen = chosen | ((F.col(label) == value) & (place < min(_STEPS, int(_STEPS * 1.2 * bound / n) + 1)))
-    out, taken = [], dict.fromkeys(counts, 0)
-    for r in sorted(rows.where(chosen).select("doc_id", "text", label, place.alias("place")).collect(), key=lambda r: (r["place"], r["doc_id"], r["text"])):
-        if taken[r[label]] < bound:
-            taken[r[label]] += 1
-            out.append(r)
-    return out
+    rows = rows.where(F.octet_length("text") <= _LONGEST)
+    placed = rows.select("doc_id", "text", label, F.pmod(F.xxhash64("doc_id", "text"), F.lit(_STEPS)).alias("place"))
+    short = placed.select(label, "place", F.octet_length("text").alias("size"))
+    counts = {r[0]: r[1] for r in short.groupBy(label).agg(F.approx_count_distinct("place")).collect()}
+    ahead = lambda limits: reduce(lambda a, b: a | b, [(F.col(label) == v) & (F.col("place") <= n) for v, n in limits.items()], F.lit(False))
+    near = short.where(ahead({v: int(_STEPS * min(1.0, 1.3 * bound / max(n, 1))) for v, n in counts.items()})).distinct()
+    last, held = {}, {v: [0, 0] for v in counts}
+    for value, place, size in sorted(map(tuple, near.collect()), key=lambda r: r[1:]):
+        held[value] = [held[value][0] + 1, held[value][1] + size]
+        if held[value][0] <= bound and held[value][1] <= max_bytes:
+            last[value] = place
+    chosen = placed.where(ahead(last)).dropDuplicates([label, "place"]).collect()
+    return sorted(chosen, key=lambda r: (r["place"], str(r[label])))
