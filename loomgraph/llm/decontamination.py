@@ -135,12 +135,11 @@ def find_items(documents: DataFrame, benchmark: DataFrame, how: Decontamination
     return named.groupBy("doc_id", "row", "item_id").agg(best).select("doc_id", "row", "item_id", (-F.col("best.worse")).alias("similarity"), "best.distance", "best.start", "best.n_words")
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, how: Decontamination = Decontamination(inside=False)) -> DataFrame:
-    """The documents that hold no item; their columns pass through. Unless told otherwise, an item of fewer
-    words than a shingle counts only where it is the whole document."""
-    marked = find_items(documents, benchmark, how).select(F.col("row").alias("_row")).distinct()
-    keyed = documents.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return keyed.join(marked, "_row", "left_anti").drop("_row")
+def decontaminated(documents: DataFrame, benchmark: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
+    """The documents that hold no item, however short; their columns pass through, whatever their names."""
+    marked = find_items(documents, benchmark, how).select("row").distinct()
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("of"), F.xxhash64("doc_id", "text").alias("row"))
+    return keyed.join(marked, "row", "left_anti").select("of.*")
 
 
 def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ _BITS = 14
 _ORDERS = (2, 3, 4)
 _SCALE = 60.0
 _BATCH_BYTES = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and numbers such as fractions, which aren't letters
 
 #: Families of related languages by ISO 639-1 code.
 FAMILIES = {
@@ -46,6 +46,10 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def family_of(lang: str) -> str:
     return _FAMILY_OF.get(lang, f"only {lang}")
 
@@ -150,7 +154,7 @@ class LanguageModel:
 def fit_language_model(documents: DataFrame, bound: int = DOCUMENTS_A_LANGUAGE) -> LanguageModel:
     """Fit on at most ``bound`` documents of each language, of those with a text and a lang."""
     rows = labelled_sample(documents.where("text is not null and lang is not null").select("doc_id", "text", "lang"), "lang", bound)
-    rows = [r for r in rows if _LETTER.search(r["text"])]
+    rows = [r for r in rows if has_letter(r["text"])]
     return LanguageModel.fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -166,7 +170,7 @@ def predict_language(documents: DataFrame, model: LanguageModel) -> DataFrame:
             for part in parts(batch.column("text"), _BATCH_BYTES):
                 rows = batch.slice(part.start, part.stop - part.start)
                 texts = rows.column("text").to_pylist()
-                some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+                some = [i for i, t in enumerate(texts) if t and has_letter(t)]
                 out = [("und", 0.0)] * len(texts)
                 for i, found in zip(some, model.predict([texts[i] for i in some]) if some else (), strict=True):
                     out[i] = found

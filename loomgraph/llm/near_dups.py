@@ -34,17 +34,15 @@ _BLOCK = 256  # documents of a group that meet in one task at a time
 class NearDups:
     """``words`` in a shingle, ``percent`` of similarity that links, and the sketches' size.
 
-    Two documents at the threshold share on average 80 % of a sketch's values. ``least`` is how many of
-    ``k`` are required: 36 of 64 is nearly five standard deviations below 51, so one linked pair in about
-    a million at exactly the threshold is passed over, and fewer above it. ``margin``: how far below the
-    threshold an estimate from the union of two sketches may lie (three to four standard deviations).
+    Of the k smallest values of two documents' union, those at the threshold share 80 % on average. ``least``
+    is how many are required, by the lists and by the estimate alike: of 64 values 28 or more are shared but
+    for one pair in about 3 * 10^10 at exactly the threshold (binomial tail), and fewer above it.
     """
 
     words: int = 2
     percent: int = 80
     k: int = 64
-    least: int = 36
-    margin: float = 0.2
+    least: int = 28
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -148,7 +146,7 @@ def candidate_edges(sketches: DataFrame, how: NearDups, scratch: Scratch) -> Dat
 
     left = sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a"))
     right = sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b"))
-    alike = pairs.join(left, "u").join(right, "v").where(estimate("a", "b") >= how.percent / 100 - how.margin).select("u", "v")
+    alike = pairs.join(left, "u").join(right, "v").where(estimate("a", "b") * how.k >= how.least - 0.5).select("u", "v")
     long = sized.where((F.col("size") > _SHORT) & (F.col("doc_id") != F.col("first"))).select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
     return alike.union(long)
 
@@ -194,7 +192,7 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], how: NearDups) -> np.ndarra
     small, large = np.minimum.outer(n, m), np.maximum.outer(n, m)
     pairs = np.argwhere((small > 0) & (100 * small >= how.percent * large))
     if len(pairs):
-        pairs = pairs[_estimates(a, b, pairs, how.k) >= how.percent / 100 - how.margin]
+        pairs = pairs[_estimates(a, b, pairs, how.k) * how.k >= how.least - 0.5]
     if not len(pairs):
         return pairs
     if len(pairs) > 64:

@@ -1,4 +1,8 @@
-"""Packing of documents into token sequences by bounded-space online best fit."""
+"""Packing of documents into token sequences by bounded-space best fit.
+
+The packer is online: it places one piece after another and keeps a bounded number of bins open. ``pack``
+feeds it a group's longest pieces first, which leaves fewer sequences than the order of arrival.
+"""
 
 from __future__ import annotations
 

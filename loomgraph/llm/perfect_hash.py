@@ -42,7 +42,10 @@ class PerfectHash:
             alone = np.bincount(at, minlength=size) == 1
             levels.append(alone)
             left = left[~alone[at]]
-        return cls(levels, np.sort(left))
+        left = np.sort(left)
+        if (left[1:] == left[:-1]).any():
+            raise ValueError("two documents have the same 64-bit key")
+        return cls(levels, left)
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key; -1 (or any number, which a fingerprint tells) for keys never put in."""

@@ -74,14 +74,15 @@ def scan_versions(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
 
     ``versions``: ``content`` and any columns that name a path and version. Each content is addressed by
     its SHA-256; contents that ``ledger`` (a Parquet folder of blob, rules, spans; made where missing) has
-    under this version of the rules are not scanned again, and of equal contents one is scanned. Copies are
-    combined before the shuffle, so a group of copies is no hot key. New findings, empty ones too, are
-    appended to the ledger and joined back to all versions: adds blob and spans (array of kind, start, end).
-    A null content is an empty one.
+    under this version of the rules are not scanned again, and of equal contents one is scanned; copies are
+    combined before that shuffle. New findings, empty ones too, are appended to the ledger and joined back to
+    all versions: adds blob and spans (array of kind, start, end), in place of columns that have these names.
+    That join deals versions by blob; Spark splits the large partition that a group of copies makes. A null
+    content is an empty one.
     """
     spark = versions.sparkSession
     text = F.coalesce("content", F.lit(""))
-    versions = versions.withColumn("content", text).withColumn("blob", F.sha2(text.cast("binary"), 256))
+    versions = versions.drop("blob", "spans").withColumn("content", text).withColumn("blob", F.sha2(text.cast("binary"), 256))
     version = rules_version(rules)
     known = _ledger(spark, ledger)
     blobs = versions.groupBy("blob").agg(F.any_value("content").alias("content"))
@@ -109,9 +110,14 @@ def joined_spans(spans, kinds: tuple[str, ...] | None = None):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+LEDGER = "spark.loomgraph.secrets.ledger"
+
+
 def op8_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents. The session's setting ``spark.loomgraph.secrets.ledger`` names a ledger that
+    outlives the run; where it is unset, each run begins its own."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"))
-    found = scan_versions(documents, f"{Scratch(spark, 'secrets').root}/ledger")
+    found = scan_versions(documents, spark.conf.get(LEDGER, None) or f"{Scratch(spark, 'secrets').root}/ledger")
     base = tuple(r.kind for r in RULES)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

@@ -71,8 +71,8 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int, scratch: Scratch, s
     """Add ``shard`` (0 to shards - 1) so that every shard has nearly the same weight.
 
     ``rows``: ``weight`` (bigint > 0), ``text_key`` and ``row_key`` (non-negative 40-bit hashes that
-    order ties: equal texts stay side by side, and a group of copies is cut only where it alone is
-    heavier than the slack) and the numeric columns ``dims``. A node of the tree is split at its
+    order ties: among rows of one value of the split dimension equal texts stay side by side, and their
+    group is cut only where it alone is heavier than the slack; copies that differ in a dimension may part) and the numeric columns ``dims``. A node of the tree is split at its
     weighted median along the dimension in which it is widest, relative to the whole table; a node
     that stands for s shards gives floor(s/2)/s of its weight to the left. ``slack`` is the share of
     one shard by which a split may miss. Null values of a dimension count as its smallest value.

@@ -19,6 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words kept by a worker; beyond it the cache starts anew, which costs time only.
 CACHE_WORDS = 800_000
 _WORDS_AT_ONCE = 20_000
+_KEPT = 64  # characters of a word up to which it stays in the cache
 _PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 _SPACES = ("", " ", "\n", "\t", "\r")
 _OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
@@ -85,9 +86,13 @@ class WordEncoder:
         ids = [None if p is None else list(map(self.known.get, p)) for p in parts]
         lacking = [i for i, x in enumerate(ids) if x is not None and None in x]
         if lacking:
-            self._learn(sorted({w for i in lacking for w, x in zip(parts[i], ids[i], strict=True) if x is None}))
+            fresh = sorted({w for i in lacking for w, x in zip(parts[i], ids[i], strict=True) if x is None})
+            self._learn(fresh)
             for i in lacking:
-                ids[i] = map(self.known.__getitem__, parts[i])
+                ids[i] = list(map(self.known.__getitem__, parts[i]))
+            for w in fresh:
+                if len(w) > _KEPT:  # text without spaces would fill the cache with whole passages
+                    del self.known[w]
         return [self._ids(t) if x is None else b"".join(x) for t, x in zip(texts, ids, strict=True)]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,14 +127,14 @@ def search(rows: DataFrame, is_query, k: int = NEIGHBOURS, bound: int = TRAINING
 
     ``rows``: vec_id, vec (arrays of one length; a row of another length takes no part, the commonest length
     counts); ``is_query``: a condition on them. The quantiser is fitted on at most ``bound`` rows; all rows
-    are coded and scanned. Queries meet the candidates in blocks of fixed size, each block pair in one task:
+    are coded, once each, and scanned. Queries meet the candidates in blocks of fixed size, each block pair in one task:
     it scans codes, scores its 200 best exactly in double precision and keeps k. A query's own row is no
-    candidate; rows that share a vec_id are one. Nearest first, ties to the smaller vec_id. Rows without
+    candidate; other rows of its vec_id are, and rows that share a vec_id are each a query. Nearest first, ties to the smaller vec_id. Rows without
     vec_id, and vectors that are null, zero or not finite, take no part. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "vectors")
-    vectors = usable(rows.where("vec_id is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec"))).dropDuplicates(["vec_id"])
+    vectors = usable(rows.where("vec_id is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec")))
     dims = vectors.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -145,32 +146,40 @@ def search(rows: DataFrame, is_query, k: int = NEIGHBOURS, bound: int = TRAINING
         net = AnisotropicQuantizer(np.concatenate([net.books, np.zeros((1, _CODES, _SUBSPACE))]), net.eta)
 
     def meet(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        candidates = candidates.sort_values("vec_id")
-        ids, x = candidates["vec_id"].to_numpy(), _matrix(candidates["vec"])
-        query_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["vec"])
+        candidates = candidates.sort_values(["vec_id", "row"])
+        ids, own, x = candidates["vec_id"].to_numpy(), candidates["row"].to_numpy(), _matrix(candidates["vec"])
+        query_ids, asking, q = queries["vec_id"].to_numpy(), queries["row"].to_numpy(), _matrix(queries["vec"])
         if not len(ids) or not len(query_ids):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        codes, keep, out = paired(net.encode(x)), min(len(ids), max(_RERANKED, 2 * k)), []
+            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+        codes = np.frombuffer(b"".join(candidates["code"]), np.uint8).reshape(len(ids), -1).T
+        codes, keep, out = np.ascontiguousarray(codes), min(len(ids), max(_RERANKED, 2 * k)), []
         for a in range(0, len(q), _SLAB):
             near = net.scan(net.tables(q[a : a + _SLAB]), codes)
             for i, row in enumerate(near, a):
                 cut = np.partition(row, len(row) - keep)[len(row) - keep]
                 above, ties = np.flatnonzero(row > cut), np.flatnonzero(row == cut)
                 best = np.sort(np.concatenate([above, ties[: keep - len(above)]]))  # of equal codes the smaller vec_ids
-                best = best[ids[best] != query_ids[i]]
+                best = best[own[best] != asking[i]]
                 exact = np.array([float(np.dot(x[j], q[i])) for j in best])
                 first = np.lexsort([ids[best], -exact])[:k]
-                out.append((query_ids[i], ids[best][first], exact[first]))
-        return pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+                out.append((i, ids[best][first], exact[first]))
+        at = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
+        return pd.DataFrame({"query_row": asking[at], "query_id": query_ids[at], "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
-    vectors = scratch.save(vectors.withColumn("is_query", is_query), "vectors")
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(code=[c.tobytes() for c in paired(net.encode(_matrix(batch["vec"]))).T] if len(batch) else [])
+
+    # numbered once written, so that the numbers stay
+    vectors = scratch.save(vectors.withColumn("is_query", is_query), "vectors").withColumn("row", F.monotonically_increasing_id())
+    vectors = scratch.save(vectors.mapInPandas(coded, "vec_id long, vec array<double>, is_query boolean, row long, code binary"), "coded")
     n_queries = vectors.where("is_query").count()
-    block = lambda n, size, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(max(1, -(-n // size)))).cast("int")
+    block = lambda n, size, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(max(1, -(-n // size)))).cast("int")
     across, down = max(1, -(-n_queries // _QUERIES_A_BLOCK)), max(1, -(-dims["n"] // _CANDIDATES_A_BLOCK))
-    candidates = vectors.select("vec_id", "vec", block(dims["n"], _CANDIDATES_A_BLOCK, 1).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q"))
-    queries = vectors.where("is_query").select("vec_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"), block(n_queries, _QUERIES_A_BLOCK, 2).alias("q"))
-    found = candidates.groupBy("c", "q").cogroup(queries.groupBy("c", "q")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    candidates = vectors.select("vec_id", "row", "vec", "code", block(dims["n"], _CANDIDATES_A_BLOCK, 1).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q"))
+    queries = vectors.where("is_query").select("vec_id", "row", "vec", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"), block(n_queries, _QUERIES_A_BLOCK, 2).alias("q"))
+    found = candidates.groupBy("c", "q").cogroup(queries.groupBy("c", "q")).applyInPandas(meet, "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
