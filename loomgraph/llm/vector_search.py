@@ -146,11 +146,11 @@ def search(rows: DataFrame, is_query, k: int = NEIGHBOURS, bound: int = TRAINING
         net = AnisotropicQuantizer(np.concatenate([net.books, np.zeros((1, _CODES, _SUBSPACE))]), net.eta)
 
     def meet(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(candidates) or not len(queries):
+            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
         candidates = candidates.sort_values(["vec_id", "row"])
         ids, own, x = candidates["vec_id"].to_numpy(), candidates["row"].to_numpy(), _matrix(candidates["vec"])
-        query_ids, asking, q = queries["vec_id"].to_numpy(), queries["row"].to_numpy(), _matrix(queries["vec"])
-        if not len(ids) or not len(query_ids):
-            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_row": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
+        query_ids, asking, q = queries["query_id"].to_numpy(), queries["query_row"].to_numpy(), _matrix(queries["query_vec"])
         codes = np.frombuffer(b"".join(candidates["code"]), np.uint8).reshape(len(ids), -1).T
         codes, keep, out = np.ascontiguousarray(codes), min(len(ids), max(_RERANKED, 2 * k)), []
         for a in range(0, len(q), _SLAB):
@@ -177,7 +177,9 @@ def search(rows: DataFrame, is_query, k: int = NEIGHBOURS, bound: int = TRAINING
     block = lambda n, size, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(max(1, -(-n // size)))).cast("int")
     across, down = max(1, -(-n_queries // _QUERIES_A_BLOCK)), max(1, -(-dims["n"] // _CANDIDATES_A_BLOCK))
     candidates = vectors.select("vec_id", "row", "vec", "code", block(dims["n"], _CANDIDATES_A_BLOCK, 1).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q"))
-    queries = vectors.where("is_query").select("vec_id", "row", "vec", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"), block(n_queries, _QUERIES_A_BLOCK, 2).alias("q"))
+    # under names of their own: Spark mixes up the columns of two sides that come from one table
+    asked = [F.col(a).alias(b) for a, b in (("vec_id", "query_id"), ("row", "query_row"), ("vec", "query_vec"))]
+    queries = vectors.where("is_query").select("row", *asked, F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"), block(n_queries, _QUERIES_A_BLOCK, 2).alias("q")).drop("row")
     found = candidates.groupBy("c", "q").cogroup(queries.groupBy("c", "q")).applyInPandas(meet, "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
