@@ -43,6 +43,15 @@ named AS (SELECT *, likes + quotes AS engagement, CASE WHEN display = '' THEN '@
 _FLAT = r"regexp_replace(regexp_replace(replace(text, chr(10), ' '), '^[\s\x{85}\x{A0}]+', ''), '[\s\x{85}\x{A0}]+$', '')"
 
 
+# a re-rooted thread holds what was stored first, then its first turn
+_ASSEMBLED = """
+kinds AS (SELECT *, thread_ord % 2 = 0 AND post_ord > 0 AS stored, thread_ord % 3 <> 0 AS fetched,
+  thread_ord % 3 = 0 AND thread_ord % 2 = 1 AND post_ord = 0 AND embed_uri IS NOT NULL AS quoting, max(post_ord) OVER (PARTITION BY thread_ord) AS most,
+  nth_value(uri, 2) OVER (PARTITION BY thread_ord ORDER BY post_ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM posts),
+web AS (SELECT *, CASE WHEN fetched OR quoting THEN thread_root ELSE second END AS root,
+  CASE WHEN thread_ord % 2 = 1 THEN post_ord WHEN post_ord = 0 THEN most ELSE post_ord - 1 END AS spot FROM kinds WHERE stored OR fetched OR quoting)"""
+
+
 def _cut(most: int) -> str:
     return f"CASE WHEN length({_FLAT}) <= {most} THEN {_FLAT} ELSE substr({_FLAT}, 1, {most - 3}) || '...' END"
 
@@ -120,6 +129,8 @@ SELECT uri, quotes AS quote_count, coalesce(known, 0) AS known FROM posts LEFT J
     "crawl_frontier": f"""WITH RECURSIVE {_C}, jobs(thread_ord, depth) AS (SELECT 0, 0 UNION ALL SELECT CAST(p.thread_ord AS INT), depth + 1 FROM jobs JOIN posts q ON q.thread_ord = jobs.thread_ord JOIN edges e ON e.source = q.uri JOIN posts p ON p.uri = e.target WHERE depth < {MAX_DEPTH}),
 found AS (SELECT uri, depth FROM posts JOIN jobs USING (thread_ord) UNION ALL SELECT target, depth FROM edges JOIN posts ON uri = source JOIN jobs USING (thread_ord))
 SELECT uri, CAST(min(depth) AS BIGINT) AS depth FROM found GROUP BY uri""",
+    "assembled_posts": f"""WITH {_C}, {_ASSEMBLED} SELECT uri, root AS thread_root, CAST(spot AS BIGINT) AS post_ord, text || CASE WHEN stored OR NOT fetched THEN '' ELSE ' (edited)' END AS text, likes + CASE WHEN fetched THEN 1 ELSE 0 END AS likes FROM web""",
+    "assembled_edges": f"""WITH {_C}, {_ASSEMBLED} SELECT e.source, e.target, s.root AS source_thread, t.root AS target_thread FROM edges e JOIN web s ON s.uri = e.source JOIN web t ON t.uri = e.target WHERE t.post_ord = 0""",
     "recrawl_merge": f"""WITH {_C} SELECT uri, CASE WHEN thread_ord % 2 = 0 THEN text ELSE text || ' (edited)' END AS text, likes + CASE WHEN thread_ord % 3 <> 0 THEN 1 ELSE 0 END AS likes
 FROM posts WHERE thread_ord % 2 = 0 OR thread_ord % 3 <> 0""",
     "catalog_prefix_lookup": f"WITH {_C}, n AS (SELECT DISTINCT regexp_extract(thread_root, '[^/]+$') || '-' || substr(sha256(thread_root), 1, 6) AS w FROM posts) SELECT substr(w, 1, 3) AS prefix, count(*) AS matches FROM n GROUP BY 1",

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomgraph.schema import AUTHOR, FACETS
 
 _OUT = (
     f"web_id string, asked string, ord int, response_root string, uri string, cid string, author {AUTHOR}, text string, created_at string, reply_parent string, reply_root string, "
-    f"embed_type string, embed_uri string, facets {FACETS}, labels array<string>, langs array<string>, like_count bigint, reply_count bigint, repost_count bigint, quote_count bigint, error string"
+    f"embed_type string, embed_uri string, facets {FACETS}, labels array<string>, langs array<string>, like_count bigint, reply_count bigint, repost_count bigint, quote_count bigint, job bigint, error string"
 )
 #: Names of node kinds, embeds and text features.
 _VIEW, _HIDDEN = "app.bsky.feed.defs#threadViewPost", ("app.bsky.feed.defs#notFoundPost", "app.bsky.feed.defs#blockedPost")
@@ -90,18 +91,20 @@ def _flatten(responses: DataFrame, rows_of) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for web, asked, body in batch[["web_id", "uri", "body"]].itertuples(index=False):
+            for web, asked, body, job in batch[["web_id", "uri", "body", "job"]].itertuples(index=False):
+                known = {"web_id": web, "asked": asked, "job": job}
                 try:
-                    out += [{"web_id": web, "asked": asked, "error": None, **r} for r in rows_of(body, asked)]
+                    out += [{**known, "error": None, **r} for r in rows_of(body, asked)]
                 except (ValueError, KeyError, TypeError, RecursionError) as e:
-                    out.append({"web_id": web, "asked": asked, "error": f"Decode: {e!r}"[:200]})
+                    out.append({**known, "error": f"Decode: {e!r}"[:200]})
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in names})
 
-    return responses.select("web_id", "uri", "body").mapInPandas(run, _OUT)
+    job = F.col("job").cast("bigint") if "job" in responses.columns else F.lit(0).cast("bigint")
+    return responses.select("web_id", "uri", "body", job.alias("job")).mapInPandas(run, _OUT)
 
 
 def thread_posts(responses: DataFrame) -> DataFrame:
-    """Posts of thread responses (web_id, uri asked for, body). A body that can't be read is one row with its error.
+    """Posts of thread responses (web_id, uri asked for, body, and job, their order, where given). A body that can't be read is one row with its error.
 
     Python reads the JSON: replies nest far deeper than Spark's JSON functions go.
     """
@@ -109,5 +112,5 @@ def thread_posts(responses: DataFrame) -> DataFrame:
 
 
 def quoting_posts(pages: DataFrame) -> DataFrame:
-    """Posts of pages of quotes (web_id, uri asked for, body)."""
+    """Posts of pages of quotes (web_id, uri asked for, body, and job where given)."""
     return _flatten(pages, quote_rows)
