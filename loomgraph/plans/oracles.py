@@ -133,5 +133,5 @@ SELECT uri, CAST(min(depth) AS BIGINT) AS depth FROM found GROUP BY uri""",
     "assembled_edges": f"""WITH {_C}, {_ASSEMBLED} SELECT e.source, e.target, s.root AS source_thread, t.root AS target_thread FROM edges e JOIN web s ON s.uri = e.source JOIN web t ON t.uri = e.target WHERE t.post_ord = 0""",
     "recrawl_merge": f"""WITH {_C} SELECT uri, CASE WHEN thread_ord % 2 = 0 THEN text ELSE text || ' (edited)' END AS text, likes + CASE WHEN thread_ord % 3 <> 0 THEN 1 ELSE 0 END AS likes
 FROM posts WHERE thread_ord % 2 = 0 OR thread_ord % 3 <> 0""",
-    "catalog_prefix_lookup": f"WITH {_C}, n AS (SELECT DISTINCT regexp_extract(thread_root, '[^/]+$') || '-' || substr(sha256(thread_root), 1, 6) AS w FROM posts) SELECT substr(w, 1, 3) AS prefix, count(*) AS matches FROM n GROUP BY 1",
+    "catalog_prefix_lookup": f"WITH {_C}, n AS (SELECT regexp_extract(thread_root, '[^/]+$') || '-' || substr(sha256(thread_root), 1, 6) AS w, count(*) AS k FROM posts GROUP BY 1) SELECT substr(w, 1, 3) AS prefix, count(*) AS matches, CAST(sum(k) AS BIGINT) AS posts, count(*) AS threads FROM n GROUP BY 1",
 }

@@ -14,7 +14,7 @@ from loomgraph.functions.text import author_name, short_time, split_lines, trunc
 from loomgraph.operators import assembly, graph, recrawl
 from loomgraph.plans import lenses, render
 from loomgraph.schema import Webs
-from loomgraph.sources import webjson, wire
+from loomgraph.sources import catalog, webjson, wire
 from loomgraph.sources.testdata import conversations_web as C
 from loomgraph.sources.testdata import events_web as E
 from loomgraph.sources.testdata import orders_web as O  # noqa: E741, N812
@@ -306,8 +306,11 @@ def assembled_edges(w: Webs, scratch: Scratch) -> DataFrame:
 
 
 @_query(C)
-def catalog_prefix_lookup(w: Webs) -> DataFrame:
-    """How many webs (one for each conversation) each short prefix of a name finds."""
-    names = w.threads.select(ids.web_id(F.col("thread_root")).alias("web_id"))
-    prefixes = names.select(F.substring("web_id", 1, 3).alias("prefix")).distinct()
-    return prefixes.join(names, F.substring(names["web_id"], 1, 3) == prefixes["prefix"]).groupBy("prefix").agg(F.count("*").alias("matches"))
+def catalog_prefix_lookup(w: Webs, scratch: Scratch) -> DataFrame:
+    """A store with a web for each conversation: what the catalog lists under each short prefix of a name."""
+    own = lambda t, root: t.withColumn("web_id", ids.web_id(F.col(root)))
+    webs = own(w.threads, "thread_root").select("web_id", F.col("thread_root").alias("root_uri"), F.lit("2026-01-01T00:00:00Z").alias("crawled_at"), F.lit(2).alias("format_version"))
+    each = Webs(webs, own(w.threads, "thread_root"), own(w.posts, "thread_root"), own(w.edges.limit(0), "target_thread"))
+    catalog.save_webs(each, f"{scratch.root}/store")
+    listed = catalog.catalog(catalog.stored_webs(w.posts.sparkSession, f"{scratch.root}/store"))
+    return listed.groupBy(F.substring("web_id", 1, 3).alias("prefix")).agg(F.count("*").alias("matches"), F.sum("posts").alias("posts"), F.sum("threads").alias("threads"))

@@ -1,13 +1,17 @@
-"""A store of webs as Parquet tables, partitioned by web_id."""
+"""A store of webs as Parquet tables, in folders by a hash of web_id."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ids import rkey_of
 from loomgraph.schema import POSTS, QUOTE_EDGES, THREADS, WEBS, Webs
+from loomgraph.store import Scratch, delete, exists
 
 _TABLES = {"webs": WEBS, "threads": THREADS, "posts": POSTS, "edges": QUOTE_EDGES}
+BUCKETS = 256  # folders of a table, however many webs it holds
+_NAMED = 20  # names that an error shows
 
 
 class NotFound(LookupError):
@@ -15,17 +19,52 @@ class NotFound(LookupError):
 
 
 class Ambiguous(LookupError):
-    """Several stored webs have this prefix; ``args`` name them in order."""
+    """Several stored webs have this prefix; ``count`` of them, the first of which ``args`` name in order.
+    ``matching`` gives all."""
+
+    def __init__(self, count: int, *names: str):
+        super().__init__(*names)
+        self.count = count
+
+
+def bucket_of(web_id: Column) -> Column:
+    return F.pmod(F.xxhash64(web_id), F.lit(BUCKETS)).cast("int")
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table with its ``bucket``; an empty one where nothing is stored yet."""
+    schema = f"{schema}, bucket int"
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def replace_buckets(table: DataFrame, path: str, touched: list[int], scratch: Scratch) -> None:
+    """Put ``table`` (with ``bucket``) in the place of all that ``path`` holds in the buckets ``touched``.
+
+    The rows are written to the scratch folder first, so none is read from what is being replaced, also where
+    an executor is lost meanwhile.
+    """
+    staged = scratch.save(table, "staged")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    filled = {r[0] for r in staged.select("bucket").distinct().collect()}
+    for bucket in set(touched) - filled:
+        delete(table.sparkSession, f"{path}/bucket={bucket}")
 
 
 def save_webs(webs: Webs, path: str) -> None:
-    """Write the webs; those stored under the same web_id are replaced, others stay."""
-    for name in _TABLES:
-        getattr(webs, name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("web_id").parquet(f"{path}/{name}")
+    """Write the webs; those stored under the same web_id are replaced whole, others stay."""
+    spark = webs.webs.sparkSession
+    scratch = Scratch(spark, "save")
+    given = scratch.save(webs.webs.select("web_id", bucket_of(F.col("web_id")).alias("bucket")).distinct(), "given")
+    touched = [r[0] for r in given.select("bucket").distinct().collect()]
+    for name, schema in _TABLES.items():
+        new = getattr(webs, name)
+        old = read_table(spark, f"{path}/{name}", schema).where(F.col("bucket").isin(touched)).join(given.select("web_id"), "web_id", "left_anti")
+        replace_buckets(old.unionByName(new.withColumn("bucket", bucket_of(F.col("web_id")))), f"{path}/{name}", touched, scratch)
 
 
 def stored_webs(spark: SparkSession, path: str) -> Webs:
-    return Webs(**{n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in _TABLES.items()})
+    """All stored webs; none where nothing is stored yet."""
+    return Webs(**{n: read_table(spark, f"{path}/{n}", s).drop("bucket") for n, s in _TABLES.items()})
 
 
 def catalog(webs: Webs) -> DataFrame:
@@ -36,20 +75,46 @@ def catalog(webs: Webs) -> DataFrame:
     return listed.join(posts, "web_id", "left").join(threads, "web_id", "left").na.fill(0)
 
 
+def matching(webs: Webs, name: str) -> DataFrame:
+    """(web_id) of the web of this name, else of all webs whose names start with it."""
+    named = webs.webs.select("web_id").distinct().where(F.col("web_id").startswith(name))
+    exact = named.where(F.col("web_id") == name)
+    return named if exact.isEmpty() else exact
+
+
 def load_web(webs: Webs, name: str) -> Webs:
     """The web of this web_id, else the only one whose web_id starts with it."""
-    named = F.col("web_id")
-    found = [r[0] for r in webs.webs.where((named == name) | named.startswith(name)).select("web_id").distinct().orderBy("web_id").limit(20).collect()]
-    if name in found:
-        return webs.where(named == name)
-    if not found:
+    found = matching(webs, name)
+    first = [r[0] for r in found.orderBy("web_id").limit(_NAMED).collect()]
+    if not first:
         raise NotFound(name)
-    if len(found) > 1:
-        raise Ambiguous(*found)
-    return webs.where(named == found[0])
+    if len(first) > 1:
+        raise Ambiguous(len(first) if len(first) < _NAMED else found.count(), *first)
+    return webs.where(F.col("web_id") == first[0])
 
 
 def fresh(cache: DataFrame, now_ms: float, window_s: int = 300, kept_s: int = 30 * 86_400) -> DataFrame:
     """Cache entries (key, stored_ms, web_id) younger than ``kept_s``: adds age_s and fresh (within ``window_s``)."""
     age = F.floor(F.greatest(F.lit(0.0), (F.lit(float(now_ms)) - F.col("stored_ms")) / 1000)).cast("bigint")
     return cache.withColumn("age_s", age).where(F.col("age_s") < kept_s).withColumn("fresh", F.col("age_s") < window_s)
+
+
+def cache_key(rkey: Column) -> Column:
+    """A web is cached by its root post's rkey, since an author goes by handle or DID."""
+    return F.concat(F.lit("web:"), rkey)
+
+
+def cached(cache: DataFrame, webs: Webs, asked: DataFrame) -> DataFrame:
+    """Cache entries for the posts asked for (repo, rkey): the columns of ``asked`` and those of ``cache`` (key,
+    stored_ms, web_id), where the entry's web is about that post: its root post is there, has the rkey, and its
+    author has the repo as handle or DID."""
+    roots = webs.webs.select("web_id", F.col("root_uri").alias("uri")).join(webs.nodes().select("web_id", "uri", "author"), ["web_id", "uri"])
+    found = asked.join(cache, cache_key(F.col("rkey")) == cache["key"]).join(roots, "web_id")
+    about = (rkey_of(F.col("uri")) == F.col("rkey")) & ((F.col("author.did") == F.col("repo")) | (F.col("author.handle") == F.col("repo")))
+    return found.where(about).drop("uri", "author")
+
+
+def put_cached(cache: DataFrame, stored: DataFrame) -> DataFrame:
+    """The cache with the entries ``stored`` (key, stored_ms, web_id): of one key the one stored last stays."""
+    both = cache.unionByName(stored.select(*cache.columns))
+    return both.groupBy("key").agg(F.max_by(F.struct(*cache.columns), "stored_ms").alias("of")).select("of.*")

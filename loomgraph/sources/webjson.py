@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.ids import web_id
 from loomgraph.operators.graph import normalized_edges
 from loomgraph.schema import AUTHOR, FACETS, Webs
+from loomgraph.store import exists
 
 _POST = (
     f"uri:string,cid:string,author:{AUTHOR},text:string,created_at:string,reply_parent:string,reply_root:string,embed_type:string,embed_uri:string,"
@@ -23,10 +24,26 @@ _FIELDS = [f.split(":")[0] for f in ("uri", "cid", "author", "text", "created_at
 
 
 def read_webs(spark: SparkSession, path: str) -> Webs:
-    """The webs of the ``*.json`` files under ``path``. A malformed document is an error; fields that may be
-    missing get their defaults, unknown ones are ignored, order in a document is web order."""
-    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    return parse_webs(files.select("value"))
+    """The webs of the ``*.json`` files under ``path``; none where there is no such folder. A malformed document
+    is an error; fields that may be missing get their defaults, unknown ones are ignored, order in a document
+    is web order."""
+    return parse_webs(_files(spark, path).select("value"))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    if not exists(spark, path):
+        return spark.createDataFrame([], "value string").withColumn("file", F.lit(""))
+    return spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumn("file", F.input_file_name())
+
+
+def list_webs(spark: SparkSession, path: str) -> DataFrame:
+    """(web_id, root_uri, crawled_at, nodes, edges, threads) of the ``*.json`` files under ``path``, named by their
+    files, from what their ``meta`` says: ``?`` and 0 where it doesn't, or where a document can't be read."""
+    whole = F.from_json("value", f"meta {_META}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    read = _files(spark, path).select(F.regexp_extract("file", r"([^/]*)\.json$", 1).alias("web_id"), whole.alias("d"))
+    meta = read.select("web_id", F.when(F.col("d._corrupt_record").isNull(), F.col("d.meta")).alias("m"))
+    counts = [F.coalesce(f"m.{n}_count", F.lit(0)).alias(f"{n}s") for n in ("node", "edge", "thread")]
+    return meta.select("web_id", *[F.coalesce(f"m.{n}", F.lit("?")).alias(n) for n in ("root_uri", "crawled_at")], *counts)
 
 
 def parse_webs(documents: DataFrame) -> Webs:

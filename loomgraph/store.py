@@ -10,11 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _at(spark, path)
+    return files.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _at(spark, path)
+    files.delete(where, True)
+
+
 class Scratch:
-    """A folder for one job's tables, under ``spark.checkpoint.dir``; under a temporary folder where that is unset."""
+    """A folder for one job's tables, under ``spark.checkpoint.dir``; where that is unset, under a temporary
+    folder on a local master, and an error on a cluster, whose executors wouldn't share one."""
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = _own.setdefault(spark.sparkContext.applicationId, "")
             if not base:

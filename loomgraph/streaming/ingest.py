@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators.recrawl import merge_posts
-from loomgraph.schema import POSTS
+from loomgraph.schema import POSTS, THREADS
+from loomgraph.sources.catalog import bucket_of, read_table, replace_buckets
+from loomgraph.store import Scratch
 
 
 def latest(posts: DataFrame) -> DataFrame:
@@ -17,23 +19,26 @@ def latest(posts: DataFrame) -> DataFrame:
 
 
 def ingest(posts: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Merge a stream of posts into the posts stored at ``path``, web by web: known posts get new counts, others are added.
+    """Merge a stream of posts into the posts of the store at ``path`` (as ``catalog.save_webs`` writes it): known
+    posts get new counts, others are added; threads that are new to their web follow its others.
 
-    Only the webs of a batch are read and rewritten. A batch that is run again gives the same table.
+    Only the folders that a batch touches are read and rewritten, from a copy written first. A batch that is
+    run again gives the same table.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = latest(batch).persist()
-        touched = [r[0] for r in fresh.select("web_id").distinct().limit(10_001).collect()]
-        stored = spark.read.schema(POSTS).parquet(path)
-        # a batch of few webs prunes the store's partitions; a larger one reads them by a join
-        old = stored.where(F.col("web_id").isin(touched)) if len(touched) <= 10_000 else stored.join(fresh.select("web_id").distinct(), "web_id", "left_semi")
-        merged = merge_posts(old, fresh).persist()
-        merged.count()
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("web_id").parquet(path)
-        for table in (merged, fresh):
-            table.unpersist()
+        scratch = Scratch(spark, f"ingest-{number}")
+        fresh = scratch.save(latest(batch).withColumn("bucket", bucket_of(F.col("web_id"))), "batch")
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        old = lambda name, schema: read_table(spark, f"{path}/{name}", schema).where(F.col("bucket").isin(touched))
+        replace_buckets(merge_posts(old("posts", POSTS), fresh), f"{path}/posts", touched, scratch)
+        threads = old("threads", THREADS)
+        top = threads.groupBy("web_id").agg(F.max("thread_ord").alias("top"))
+        begun = fresh.groupBy("web_id", "bucket", "thread_root").agg(F.min(F.struct("thread_ord", "post_ord")).alias("at")).join(threads, ["web_id", "thread_root"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("web_id").orderBy("at", "thread_root"))
+        new = begun.join(top, "web_id", "left").withColumn("thread_ord", (F.coalesce("top", F.lit(-1)) + place).cast("int"))
+        replace_buckets(threads.unionByName(new.select(*threads.columns)), f"{path}/threads", touched, scratch)
 
     writer = posts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
