@@ -50,7 +50,7 @@ def thread_hops(edges: DataFrame, starts: DataFrame, scratch: Scratch, most: int
 
 def tree_roots(webs: Webs, scratch: Scratch) -> DataFrame:
     """(web_id, start_uri, root_uri): from the web's root post up the reply chain as far as posts are there."""
-    parents = webs.nodes().select("web_id", F.col("uri").alias("at"), "reply_parent")
+    parents = webs.nodes("reply_parent").select("web_id", F.col("uri").alias("at"), "reply_parent")
     known = parents.select("web_id", F.col("at").alias("reply_parent"))
     up = scratch.save(parents.join(known, ["web_id", "reply_parent"]).where("at <> reply_parent"), "up")
     now = scratch.save(webs.webs.select("web_id", F.col("root_uri").alias("start_uri"), F.col("root_uri").alias("at"), F.array("root_uri").alias("path")), "at")

@@ -65,13 +65,20 @@ def top_posts(webs: Webs, k: int = 10) -> DataFrame:
 def most_quoted(webs: Webs, k: int = 10) -> DataFrame:
     """rnk, uri, n: posts of the web by the quote edges that start at them, then first edge; missing posts don't count."""
     sources = webs.edges.groupBy("web_id", F.col("source").alias("uri")).agg(F.count("*").alias("n"), F.min("edge_ord").alias("first"))
-    return top(sources.join(webs.nodes(), ["web_id", "uri"]), k, F.desc("n"), "first")
+    return _ranked(webs, sources, k)
 
 
 def most_replied(webs: Webs, k: int = 10) -> DataFrame:
     """rnk, uri, n: posts of the web by the replies that it holds, then first reply."""
     replied = webs.posts.where("reply_parent is not null").groupBy("web_id", F.col("reply_parent").alias("uri")).agg(F.count("*").alias("n"), F.min(_place()).alias("first"))
-    return top(replied.join(webs.nodes(), ["web_id", "uri"]), k, F.desc("n"), "first")
+    return _ranked(webs, replied, k)
+
+
+def _ranked(webs: Webs, counted: DataFrame, k: int) -> DataFrame:
+    """Of the counts (web_id, uri, n, first) of posts of the web the ``k`` largest, with the posts' columns: these
+    are looked up last."""
+    best = top(counted.join(webs.posts.select("web_id", "uri"), ["web_id", "uri"], "left_semi"), k, F.desc("n"), "first")
+    return best.join(webs.at(best).nodes(), ["web_id", "uri"])
 
 
 def threads_by_size(webs: Webs, k: int = 20) -> DataFrame:
@@ -95,34 +102,33 @@ def _referred(posts: DataFrame, nodes: DataFrame, numbers: DataFrame | None = No
 
 def linear(webs: Webs) -> DataFrame:
     """All posts by time: n of total, and handle and number of the posts they reply to and quote."""
-    nodes = webs.nodes()
-    numbered = chronological(nodes)
-    return _referred(numbered, nodes, numbered)
+    numbered = chronological(webs.nodes())
+    return _referred(numbered, webs.nodes("author"), numbered)
 
 
 def timeline(webs: Webs, after: str | None = None, before: str | None = None) -> DataFrame:
     """As :func:`linear` within after <= created_at < before, numbered there; what is referred to outside has a
     handle and no number. An empty bound is none."""
-    nodes = webs.nodes()
-    inside = nodes
+    inside = F.lit(True)
     if after:
-        inside = inside.where(F.col("created_at") >= after)
+        inside = inside & (F.col("created_at") >= after)
     if before:
-        inside = inside.where(F.col("created_at") < before)
-    numbered = chronological(inside)
-    return _referred(numbered, nodes, numbered)
+        inside = inside & (F.col("created_at") < before)
+    # the scan drops what lies outside; of a post that the web has twice, the last decides
+    numbered = chronological(webs.at(webs.posts.where(inside)).nodes().where(inside))
+    return _referred(numbered, webs.nodes("author"), numbered)
 
 
 def author_posts(webs: Webs) -> DataFrame:
     """Every post with its author's did, k (its number among the author's posts) and global_n."""
     nodes = webs.nodes().withColumn("did", F.col("author.did"))
     numbered = chronological(nodes, name="global_n").drop("total")
-    return _referred(chronological(numbered, ["web_id", "did"], "k").drop("total"), nodes)
+    return _referred(chronological(numbered, ["web_id", "did"], "k").drop("total"), webs.nodes("author"))
 
 
 def author_roster(webs: Webs, scratch: Scratch) -> DataFrame:
     """pos, did, name (as on the author's earliest post), posts, thread_starter, joined_via_quote: by first post."""
-    nodes = webs.nodes().withColumn("did", F.col("author.did"))
+    nodes = webs.nodes("author", "created_at").withColumn("did", F.col("author.did"))
     when = F.struct("created_at", "thread_ord", "post_ord")
     by = nodes.groupBy("web_id", "did").agg(F.count("*").alias("posts"), F.min(_place()).alias("seen"), F.min("created_at").alias("since"), F.min_by(F.struct(author_name(F.col("author")).alias("name"), "uri"), when).alias("first"))
     starters = tree_roots(webs, scratch).join(nodes.select("web_id", F.col("uri").alias("root_uri"), "did"), ["web_id", "root_uri"]).select("web_id", "did", F.lit(True).alias("starter"))
@@ -150,7 +156,7 @@ def search(webs: Webs, query: str | None = None, author: str | None = None) -> D
     sizes = webs.posts.groupBy("web_id", F.col("thread_root").alias("in_thread")).agg(F.count("*").alias("thread_size"))
     index = post_index(webs).withColumnRenamed("thread_root", "in_thread")
     rows = chronological(found).join(index, ["web_id", "uri"]).join(sizes, ["web_id", "in_thread"])
-    return _referred(rows, webs.nodes()).withColumn("snippet", truncate(F.col("text"), 120))
+    return _referred(rows, webs.nodes("author")).withColumn("snippet", truncate(F.col("text"), 120))
 
 
 def root_threads(webs: Webs) -> DataFrame:
@@ -187,5 +193,5 @@ def neighborhood_walk(webs: Webs, scratch: Scratch, hops: int = 2, uri: str | No
 
 def tree(webs: Webs, scratch: Scratch) -> DataFrame:
     """All posts as a depth-first walk: seq, section, depth, tag, uri; replies before quotes."""
-    nodes = webs.nodes()
+    nodes = webs.nodes("created_at", "reply_parent")
     return ordered_walk(nodes, child_edges(nodes, webs.edges), tree_roots(webs, scratch), scratch)

@@ -34,14 +34,19 @@ class Webs:
     posts: DataFrame
     edges: DataFrame
 
-    def nodes(self) -> DataFrame:
-        """Posts, one for each (web_id, uri): the first one's place with the last one's values."""
+    def nodes(self, *columns: str) -> DataFrame:
+        """Posts, one for each (web_id, uri): the first one's place with the last one's values. ``columns`` names
+        the values that are wanted, all where none is named; others are not read."""
         place = F.struct("thread_ord", "post_ord")
-        other = [c for c in self.posts.columns if c not in ("web_id", "uri", "thread_ord", "post_ord")]
+        other = [c for c in self.posts.columns if c not in ("web_id", "uri", "thread_ord", "post_ord") and (not columns or c in columns)]
         last = F.max_by(F.struct(*other), place).alias("last")
         one = self.posts.groupBy("web_id", "uri").agg(F.min(place).alias("first"), last)
         return one.select("web_id", "uri", "first.thread_ord", "first.post_ord", "last.*")
 
+    def at(self, uris: DataFrame) -> Webs:
+        """The webs with only the posts of ``uris`` (web_id, uri)."""
+        return Webs(self.webs, self.threads, self.posts.join(uris.select("web_id", "uri"), ["web_id", "uri"], "left_semi"), self.edges)
+
     def where(self, condition) -> Webs:
         """The webs that meet a condition on web_id."""
         return Webs(*(t.where(condition) for t in (self.webs, self.threads, self.posts, self.edges)))
