@@ -17,6 +17,7 @@ from loomgraph.plans import lenses
 from loomgraph.schema import Webs
 from loomgraph.store import Scratch
 
+#: The lenses' names here, and below the headings, tags and layout that their text format has.
 NAMES = ("tree", "linear", "by-author", "stats", "threads", "highlights", "neighborhood", "timeline", "search")
 
 
