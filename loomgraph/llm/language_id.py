@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.samples import held_out, labelled_sample
+from loomgraph.llm.samples import held_out, labelled_sample, placed
 from loomgraph.llm.worker import parts, release
 
 DOCUMENTS_A_LANGUAGE = 400  # the sample's bound
@@ -153,7 +153,7 @@ class LanguageModel:
 
 def fit_language_model(documents: DataFrame, bound: int = DOCUMENTS_A_LANGUAGE) -> LanguageModel:
     """Fit on at most ``bound`` documents of each language, of those with a text and a lang."""
-    rows = labelled_sample(documents.where("text is not null and lang is not null").select("doc_id", "text", "lang"), "lang", bound)
+    rows = labelled_sample(placed(documents.where("text is not null and lang is not null").select("doc_id", "text", "lang")), "lang", bound)
     rows = [r for r in rows if has_letter(r["text"])]
     return LanguageModel.fit([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.samples import held_out, labelled_sample
+from loomgraph.llm.samples import held_out, labelled_sample, placed
 from loomgraph.llm.worker import parts, release
 
 DOCUMENTS_A_LABEL = 1000  # the sample's bound; samples.SAMPLE_BYTES bounds it, too
@@ -144,7 +144,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, bound: int = DOCUMENTS_
     """Fit on at most ``bound`` documents of each quality label, and 16 MB of text of each (``labelled_sample``);
     a document labelled twice differently counts as each."""
     marked = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").distinct()
-    rows = labelled_sample(documents.where("text is not null").select("doc_id", "text").join(marked, "doc_id"), "quality", bound)
+    rows = labelled_sample(placed(documents.where("text is not null").select("doc_id", "text")).join(marked, "doc_id"), "quality", bound)
     return ByteCnn.fit([_bytes(r["text"]) for r in rows], np.array([r["quality"] for r in rows]))
 
 
