@@ -35,14 +35,14 @@ class NearDups:
     """``words`` in a shingle, ``percent`` of similarity that links, and the sketches' size.
 
     Of the k smallest values of two documents' union, those at the threshold share 80 % on average. ``least``
-    is how many are required, by the lists and by the estimate alike: of 64 values 28 or more are shared but
-    for one pair in about 3 * 10^10 at exactly the threshold (binomial tail), and fewer above it.
+    is how many are required, by the lists and by the estimate alike: of 64 values 32 or more are shared but
+    for one pair in about 5 * 10^7 at exactly the threshold (binomial tail), and fewer above it.
     """
 
     words: int = 2
     percent: int = 80
     k: int = 64
-    least: int = 28
+    least: int = 32
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -122,22 +122,24 @@ def candidate_edges(sketches: DataFrame, how: NearDups, scratch: Scratch) -> Dat
     pairs whose sketches' union lets it be, of a longer one from its first to all others.
 
     Two linked sketches share ``least`` values (for sets smaller than a sketch, the overlap that the
-    threshold asks for). So, of a document's values in order of rarity, all but its last ``least - 1``
-    suffice: linked documents share one of these. Values that one document alone holds come first and make
-    no list, so most documents drop out. A very common value is among a document's rarest only where most
-    of its sketch is as common.
+    threshold asks for, which is two or more: smaller sets are equal or not linked). So, of a document's
+    values in order of rarity, all but its last ``least - 2`` suffice: linked documents share two of these, so
+    a pair that meets in one short list and no other is none, unless a long list joins it. Values that one
+    document alone holds come first and make no list, so most documents drop out. A very common value is among
+    a document's rarest only where most of its sketch is as common.
     """
     least = F.least(F.lit(how.least), F.ceil(F.col("n_shingles") * how.percent / 100.0)).cast("short").alias("least")
     posts = sketches.select("doc_id", least, F.explode("sketch").alias("value"))
     shared = posts.join(posts.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value")
     ranked = shared.groupBy("doc_id", "least").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-    room = F.size("values") - F.col("least") + 1
+    room = F.when(F.size("values") >= F.col("least"), F.least(F.size("values") - F.col("least") + 2, F.size("values"))).otherwise(0)
     heads = ranked.where(room > 0).select("doc_id", F.explode(F.slice("values", F.lit(1), room)).alias("head"))
     lists = scratch.save(heads.select("doc_id", "head.value"), "lists")
     sizes = lists.groupBy("value").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1")
     sized = scratch.save(lists.join(sizes, "value"), "sized")
     all_of = sized.where(F.col("size") <= _SHORT).groupBy("value").agg(F.sort_array(F.collect_list("doc_id")).alias("all")).select(F.posexplode("all").alias("i", "u"), "all")
-    pairs = all_of.select("u", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("v")).distinct()
+    pairs = all_of.select("u", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("v"))
+    pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("n")).where("n > 1").select("u", "v")
 
     @F.pandas_udf("double")
     def estimate(a: pd.Series, b: pd.Series) -> pd.Series:
