@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomgraph.llm.decontamination import op9_simhash_windows
-from loomgraph.llm import fill_in_middle, suffix_index
+from loomgraph.llm import conversation_trie, fill_in_middle, suffix_index
 from loomgraph.llm.language_id import op1_language_id
 from loomgraph.llm.line_dedup import op10_fuzzy_lines
 from loomgraph.llm.near_dups import op3_bottom_k
@@ -27,6 +27,7 @@ QUERIES = {
     "op10_fuzzy_lines": op10_fuzzy_lines,
     "op11_suffix_family": suffix_index.op11_suffix_family,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_prefix_trie": conversation_trie.op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op11_suffix_family": suffix_index.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE}
+ORACLES: dict[str, str] = {"op11_suffix_family": suffix_index.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE, "op13_prefix_trie": conversation_trie.ORACLE}
