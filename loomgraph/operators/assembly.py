@@ -112,7 +112,9 @@ def assemble(stored: Webs, threads: DataFrame, quotes: DataFrame, scratch: Scrat
     posts = placed.select(*_KEY, F.col("now").alias("thread_root"), at.alias("post_ord"), *values).join(after, ["web_id", "thread_root"])
     posts = scratch.save(posts.select(*stored.posts.columns), "posts")
 
-    seen = old.withColumn("ord", F.lit(0)).select("web_id", F.col("of.author").alias("author"), F.col("first.job").alias("job"), "ord")
+    # of the stored posts of a handle the last in web order counts
+    place = F.col("first.a").cast("bigint") * (1 << 31) + F.col("first.b")
+    seen = old.select("web_id", F.col("of.author").alias("author"), F.col("first.job").alias("job"), place.alias("ord"))
     dids = handle_dids(seen.unionByName(responses.select("web_id", "author", "job", "ord")).unionByName(pages.select("web_id", "author", "job", "ord")))
     quoting = pages.join(arrived.select(*_KEY, "first"), _KEY).where((F.col("first.job") == F.col("job")) & (F.col("first.a") == 1)).select("web_id", F.col("asked").alias("source"), F.col("uri").alias("target"), "job", "ord", F.lit(0).alias("pos"))
     linked = _linked(responses, dids, posts).unionByName(quoting)

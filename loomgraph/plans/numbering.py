@@ -1,25 +1,18 @@
-"""Row numbers by time without a task that sorts a whole web."""
+"""Row numbers by time, and the first rows of each web."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.positions import numbered
+from loomgraph.store import Scratch
 
-def chronological(posts: DataFrame, by: list[str] | None = None, name: str = "n") -> DataFrame:
-    """Add ``name``, the row's number within its ``by`` (web_id) in order of created_at and web order, and ``total``.
 
-    Times are compared as text, so rows are counted by the hour that their time begins with, the counts are
-    summed up to offsets, and rows are numbered within their hour.
-    """
-    by = by or ["web_id"]
-    hour = F.substring("created_at", 1, 13)
-    placed = posts.withColumn("_hour", hour)
-    counts = placed.groupBy(*by, "_hour").agg(F.count("*").alias("_count"))
-    before = Window.partitionBy(*by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_hour", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"), F.sum("_count").over(Window.partitionBy(*by)).alias("total"))
-    within = Window.partitionBy(*by, "_hour").orderBy("created_at", "thread_ord", "post_ord")
-    return placed.withColumn("_place", F.row_number().over(within)).join(offsets, [*by, "_hour"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_hour", "_before", "_place")
+def chronological(posts: DataFrame, by: list[str] | None = None, name: str = "n") -> DataFrame:
+    """Add ``name``, the row's number within its ``by`` (web_id) in order of created_at (as text) and web order, and
+    ``total``. The rows are written once, in that order, so what reads them again doesn't compute them again."""
+    return numbered(posts, by or ["web_id"], ["created_at", "thread_ord", "post_ord"], Scratch(posts.sparkSession, "times"), name)
 
 
 def top(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:

@@ -129,6 +129,13 @@ SELECT uri, quotes AS quote_count, coalesce(known, 0) AS known FROM posts LEFT J
     "crawl_frontier": f"""WITH RECURSIVE {_C}, jobs(thread_ord, depth) AS (SELECT 0, 0 UNION ALL SELECT CAST(p.thread_ord AS INT), depth + 1 FROM jobs JOIN posts q ON q.thread_ord = jobs.thread_ord JOIN edges e ON e.source = q.uri JOIN posts p ON p.uri = e.target WHERE depth < {MAX_DEPTH}),
 found AS (SELECT uri, depth FROM posts JOIN jobs USING (thread_ord) UNION ALL SELECT target, depth FROM edges JOIN posts ON uri = source JOIN jobs USING (thread_ord))
 SELECT uri, CAST(min(depth) AS BIGINT) AS depth FROM found GROUP BY uri""",
+    "crawl_rounds": f"""WITH RECURSIVE {_C}, jobs(thread_ord, depth) AS (SELECT 0, 0 UNION ALL SELECT CAST(p.thread_ord AS INT), depth + 1 FROM jobs JOIN posts q ON q.thread_ord = jobs.thread_ord JOIN edges e ON e.source = q.uri JOIN posts p ON p.uri = e.target WHERE depth < {MAX_DEPTH}),
+fetched AS (SELECT posts.*, depth FROM posts JOIN jobs USING (thread_ord)),
+found AS (SELECT uri, depth FROM fetched UNION ALL SELECT target, depth FROM edges JOIN fetched ON uri = source)
+SELECT 'post' AS kind, uri, CAST(min(depth) AS BIGINT) AS depth, 'found' AS state FROM found GROUP BY uri
+UNION ALL SELECT DISTINCT 'threads', thread_root, CAST(depth AS BIGINT), 'done' FROM fetched UNION ALL SELECT 'quotes', uri, CAST(depth AS BIGINT), 'done' FROM fetched WHERE quotes > 0""",
+    "quote_pages_kept": f"""WITH {_C}, placed AS (SELECT source AS uri, row_number() OVER (PARTITION BY source ORDER BY edge_ord) AS k, CAST(regexp_extract(source, '/c([0-9]+)t', 1) AS BIGINT) % 2 = 1 AS odd FROM edges)
+SELECT uri, count(*) FILTER (NOT odd OR k <= 2) AS quotes, bool_or(odd AND k > 2) AS partial FROM placed GROUP BY uri""",
     "assembled_posts": f"""WITH {_C}, {_ASSEMBLED} SELECT uri, root AS thread_root, CAST(spot AS BIGINT) AS post_ord, text || CASE WHEN stored OR NOT fetched THEN '' ELSE ' (edited)' END AS text, likes + CASE WHEN fetched THEN 1 ELSE 0 END AS likes FROM web""",
     "assembled_edges": f"""WITH {_C}, {_ASSEMBLED} SELECT e.source, e.target, s.root AS source_thread, t.root AS target_thread FROM edges e JOIN web s ON s.uri = e.source JOIN web t ON t.uri = e.target WHERE t.post_ord = 0""",
     "recrawl_merge": f"""WITH {_C} SELECT uri, CASE WHEN thread_ord % 2 = 0 THEN text ELSE text || ' (edited)' END AS text, likes + CASE WHEN thread_ord % 3 <> 0 THEN 1 ELSE 0 END AS likes

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ids
 from loomgraph.functions.text import author_name, short_time, split_lines, truncate
-from loomgraph.operators import assembly, graph, recrawl
+from loomgraph.operators import assembly, crawl, graph, recrawl
 from loomgraph.plans import lenses, render
 from loomgraph.schema import Webs
-from loomgraph.sources import catalog, webjson, wire
+from loomgraph.sources import catalog, network, webjson, wire
 from loomgraph.sources.testdata import conversations_web as C
 from loomgraph.sources.testdata import events_web as E
 from loomgraph.sources.testdata import orders_web as O  # noqa: E741, N812
@@ -242,6 +242,25 @@ def crawl_frontier(w: Webs, scratch: Scratch) -> DataFrame:
     return recrawl.reach(w, scratch, max_depth=MAX_DEPTH).select("uri", *_long("depth"))
 
 
+@_query(C)
+def crawl_rounds(w: Webs, scratch: Scratch) -> DataFrame:
+    """The jobs of a crawl over the responses that the web's network would send, and the posts that they find."""
+    begun = Webs(w.webs, w.threads.limit(0), w.posts.limit(0), w.edges.limit(0))
+    threads, quotes = (scratch.save(t, "network") for t in (network.thread_responses(w), network.quote_responses(w, 2)))
+    done = crawl.crawl(begun, crawl.answers(threads), crawl.answers(quotes), scratch, max_depth=MAX_DEPTH)
+    found = done.found.select(F.lit("post").alias("kind"), "uri", "depth", F.lit("found").alias("state"))
+    return found.unionByName(done.jobs.select("kind", "uri", "depth", "state")).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+@_query(C)
+def quote_pages_kept(w: Webs) -> DataFrame:
+    """Pages of two quotes, of which those of odd conversations fail from the second on: what is kept of each post's."""
+    pages = network.quote_responses(w, 2)
+    odd = F.regexp_extract("uri", r"/c(\d+)t\d+$", 1).cast("bigint") % 2 == 1
+    posts = wire.quoting_posts(pages.withColumn("error", F.when(odd & (F.col("page") > 0), "HTTP 500")))
+    return posts.groupBy(F.col("asked").alias("uri")).agg(F.count("uri").alias("quotes"), F.max(F.col("error").isNotNull()).alias("partial"))
+
+
 @_query(C)
 def recrawl_merge(w: Webs) -> DataFrame:
     """Even conversations are stored; all but those divisible by three are fetched again, edited and liked once more."""

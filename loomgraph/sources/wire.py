@@ -15,6 +15,8 @@ _OUT = (
     f"web_id string, asked string, ord int, response_root string, uri string, cid string, author {AUTHOR}, text string, created_at string, reply_parent string, reply_root string, "
     f"embed_type string, embed_uri string, facets {FACETS}, labels array<string>, langs array<string>, like_count bigint, reply_count bigint, repost_count bigint, quote_count bigint, job bigint, error string"
 )
+#: Places that a page of quotes has in the order of a uri's pages; the network's pages hold 100.
+PAGE_ROWS = 1000
 #: Names of node kinds, embeds and text features.
 _VIEW, _HIDDEN = "app.bsky.feed.defs#threadViewPost", ("app.bsky.feed.defs#notFoundPost", "app.bsky.feed.defs#blockedPost")
 _RECORD, _WITH_MEDIA = "app.bsky.embed.record", "app.bsky.embed.recordWithMedia"
@@ -91,20 +93,25 @@ def _flatten(responses: DataFrame, rows_of) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for web, asked, body, job in batch[["web_id", "uri", "body", "job"]].itertuples(index=False):
-                known = {"web_id": web, "asked": asked, "job": job}
+            for web, asked, body, job, page, error in batch[["web_id", "uri", "body", "job", "page", "error"]].itertuples(index=False):
+                known, first = {"web_id": web, "asked": asked, "job": job}, int(page) * PAGE_ROWS
                 try:
-                    out += [{**known, "error": None, **r} for r in rows_of(body, asked)]
-                except (ValueError, KeyError, TypeError, RecursionError) as e:
-                    out.append({**known, "error": f"Decode: {e!r}"[:200]})
+                    if error is not None:
+                        raise ConnectionError(error)
+                    out += [{**known, "error": None, **r, "ord": first + r["ord"]} for r in rows_of(body, asked)]
+                except (ValueError, KeyError, TypeError, RecursionError, ConnectionError) as e:
+                    said = f"Fetch: {error}" if error is not None else f"Decode: {e!r}"
+                    out.append({**known, "ord": first, "error": said[:200]})
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in names})
 
-    job = F.col("job").cast("bigint") if "job" in responses.columns else F.lit(0).cast("bigint")
-    return responses.select("web_id", "uri", "body", job.alias("job")).mapInPandas(run, _OUT)
+    given = {"job": F.lit(0).cast("bigint"), "page": F.lit(0), "error": F.lit(None).cast("string")}
+    given = [(F.col(n).cast(c) if n in responses.columns else x).alias(n) for (n, x), c in zip(given.items(), ("bigint", "int", "string"), strict=True)]
+    return responses.select("web_id", "uri", "body", *given).mapInPandas(run, _OUT)
 
 
 def thread_posts(responses: DataFrame) -> DataFrame:
-    """Posts of thread responses (web_id, uri asked for, body, and job, their order, where given). A body that can't be read is one row with its error.
+    """Posts of thread responses (web_id, uri asked for, body, and job, their order, and error where given). A body
+    that can't be read, or an error given, is one row with its error.
 
     Python reads the JSON: replies nest far deeper than Spark's JSON functions go.
     """
@@ -112,5 +119,15 @@ def thread_posts(responses: DataFrame) -> DataFrame:
 
 
 def quoting_posts(pages: DataFrame) -> DataFrame:
-    """Posts of pages of quotes (web_id, uri asked for, body, and job where given)."""
-    return _flatten(pages, quote_rows)
+    """Posts of pages of quotes (web_id, uri asked for, body, and job, page from 0 and error where given).
+
+    Pages follow one another until one fails or can't be read: what the pages before it bring is kept, it leaves a
+    row with its error, and pages behind it count as never asked for. ``ord`` goes on over a uri's pages.
+    """
+    posts = _flatten(pages, quote_rows)
+    if "page" not in pages.columns:
+        return posts
+    key = ["web_id", "asked", "job"]
+    ends = posts.where("error is not null").groupBy(*key).agg(F.min("ord").alias("_end"))
+    within = (F.col("_end").isNull() | (F.col("ord") < F.col("_end"))) & F.col("error").isNull()
+    return posts.join(ends, key, "left").where(within | ((F.col("ord") == F.col("_end")) & F.col("error").isNotNull())).select(*posts.columns)

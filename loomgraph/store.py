@@ -39,9 +39,13 @@ class Scratch:
                 base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         self.spark, self.root, self.count = spark, f"{base.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}", 0
 
+    def path(self, name: str) -> str:
+        """A place for a table of this job."""
+        self.count += 1
+        return f"{self.root}/{self.count:04d}-{name}"
+
     def save(self, table: DataFrame, name: str) -> DataFrame:
         """Write a table and read it back: its plan ends here, and a lost executor costs a read."""
-        self.count += 1
-        path = f"{self.root}/{self.count:04d}-{name}"
+        path = self.path(name)
         table.write.parquet(path)
         return self.spark.read.schema(table.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, text
 from loomgraph.operators import graph, recrawl
+from loomgraph.plans.numbering import chronological
 from loomgraph.schema import Webs
 from loomgraph.sources import catalog, webjson, wire
 from loomgraph.store import Scratch
@@ -56,8 +57,8 @@ def stack_walk(n, children, start):
 def test_walks_agree_on_random_graphs(spark):
     rng = random.Random(1)
     posts, edges, expected = [], [], {}
-    for web in range(12):
-        n = rng.randint(1, 9)
+    for web in range(40):
+        n = rng.randint(1, 12)
         names = [uri(f"w{web}", k) for k in range(n)]
         children = {}
         for k in range(n):
@@ -65,7 +66,7 @@ def test_walks_agree_on_random_graphs(spark):
             posts.append((f"w{web}", 0, k, names[k], None if parent is None else names[parent], "t"))
             if parent is not None:
                 children.setdefault(parent, []).append((0, 0, k, k))
-        for e in range(rng.randint(0, 6)):
+        for e in range(rng.randint(0, 14)):
             a, b = rng.randrange(n), rng.randrange(n)
             edges.append((f"w{web}", e, names[a], names[b]))
             children.setdefault(a, []).append((1, 0, e, b))
@@ -77,12 +78,53 @@ def test_walks_agree_on_random_graphs(spark):
     starts = spark.createDataFrame([(w, s) for w, (_, s) in expected.items() if s], "web_id string, root_uri string")
     children = graph.child_edges(nodes, quotes)
     one = graph.ordered_walk(nodes, children, starts, Scratch(spark, "t")).collect()
-    two = graph.relaxed_walk(nodes, children, starts, Scratch(spark, "t")).collect()
+    two = graph.ranked_walk(nodes, children, starts, Scratch(spark, "t")).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
     for web, (walk, _) in expected.items():
         assert [(r.uri, r.depth) for r in sorted(one, key=lambda r: r.seq) if r.web_id == web] == walk
 
 
+def test_a_long_chain_is_walked_in_few_rounds(spark):
+    n, scratch = 100_000, Scratch(spark, "t")
+    name = lambda k: F.concat(F.lit("p"), F.lpad(k.cast("string"), 6, "0"))
+    row = spark.range(n).select(F.lit("w").alias("web_id"), F.lit(0).alias("thread_ord"), F.col("id").cast("int").alias("post_ord"), name(F.col("id")).alias("uri"), F.when(F.col("id") > 0, name(F.col("id") - 1)).alias("reply_parent"), F.lit("").alias("created_at"))
+    quotes = spark.createDataFrame([], "web_id string, edge_ord int, source string, target string")
+    starts = spark.createDataFrame([("w", "p000000")], "web_id string, root_uri string")
+    walk = graph.ranked_walk(row, graph.child_edges(row, quotes), starts, scratch)
+    assert scratch.count < 25
+    wrong = walk.where((F.col("seq") != F.col("depth") + 1) | (F.col("uri") != name(F.col("depth"))) | (F.col("section") != 0))
+    assert walk.count() == n and wrong.isEmpty()
+
+
+def test_roots_of_long_chains_and_of_circles_behind_tails(spark):
+    n = 10_000
+    ends = [post(HIVES, "a", k, "", "", uri("a", k - 1) if k else None) for k in range(n)]
+    scratch = Scratch(spark, "t")
+    assert graph.tree_roots(make(spark, ends, [], root=uri("a", n - 1)), scratch).first().root_uri == uri("a", 0)
+    assert scratch.count <= 14 + 3
+    circle = [post(HIVES, "a", k, "", "", uri("a", k - 1 if k else 6)) for k in range(12)]  # 11 .. 7 lead to 6 .. 0 and 6 again
+    assert graph.tree_roots(make(spark, circle, [], root=uri("a", 11)), Scratch(spark, "t")).first().root_uri == uri("a", 0)
+    assert graph.tree_roots(make(spark, circle, [], root=uri("a", 3)), Scratch(spark, "t")).first().root_uri == uri("a", 4)
+
+
+def test_each_hop_is_written_once(spark):
+    n = 12
+    edges = spark.createDataFrame([("w", f"t{k}", f"t{k + 1}") for k in range(n)] + [("w", "t0", "t0"), ("w", "t2", "t0")], "web_id string, source_thread string, target_thread string")
+    scratch = Scratch(spark, "t")
+    hops = graph.thread_hops(edges, spark.createDataFrame([("w", "t0")], "web_id string, thread_root string"), scratch)
+    assert sorted((r.thread_root, r.dist) for r in hops.collect()) == sorted((f"t{k}", max(k - 1, min(k, 1))) for k in range(n + 1))
+    assert scratch.count == 2  # the ways, and one table for all hops
+
+
+def test_one_busy_hour_is_numbered_in_many_tasks(spark):
+    rows = spark.range(4000).select(F.lit("w").alias("web_id"), F.lit("2025-01-01T10:00:00Z").alias("created_at"), (F.col("id") % 40).alias("thread_ord"), F.col("id").alias("post_ord"))
+    got = chronological(rows.repartition(3)).orderBy("n").collect()
+    assert [(r.thread_ord, r.post_ord) for r in got] == sorted((k % 40, k) for k in range(4000)) and {r.total for r in got} == {4000} and [r.n for r in got] == list(range(1, 4001))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sizes = [r["count"] for r in rows.repartitionByRange(tasks, "web_id", "created_at", "thread_ord", "post_ord").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == tasks and max(sizes) < 2 * 4000 / tasks
+
+
 def test_normalized_edges(spark):
     given = [(HIVES, YAY, "stale", "stale"), (HIVES, YAY, HIVES, YAY), (HIVES, uri("ann", "x"), HIVES, "x")]
     assert [tuple(r)[1:] for r in graph.normalized_edges(make(spark, bees(), given)).collect()] == [(0, HIVES, YAY, HIVES, YAY)]
