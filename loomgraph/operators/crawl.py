@@ -1,7 +1,7 @@
 """Crawls as rounds of jobs: what the responses so far ask for next is fetched, until nothing is left or a limit is met.
 
 A round fetches the threads that are due, then the quotes of the posts found. Each of its tables is written once and
-only new rows are compared with what is known; webs are assembled from all responses at the end.
+only new rows are compared with what is known; :meth:`Crawl.webs` puts all responses together at the end.
 """
 
 from __future__ import annotations
@@ -28,14 +28,22 @@ Fetch = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Crawl:
-    """How a crawl ended: the webs; ``found`` (web_id, uri, depth), the posts that weren't stored with the quote
+    """How a crawl ended: what it was told (``stored``, ``responses``, ``pages``); ``found`` (web_id, uri, depth), the posts that weren't stored with the quote
     hops of the job that met them; ``jobs`` (web_id, kind, uri, depth, state), kind being threads or quotes, state done,
     failed, partial or pending; ``stops`` (web_id, reason, posts, pending)."""
 
-    webs: Webs
+    stored: Webs
+    responses: DataFrame
+    pages: DataFrame
     found: DataFrame
     jobs: DataFrame
     stops: DataFrame
+    now: str | None = None
+
+    def webs(self, scratch: Scratch) -> Webs:
+        """The webs as all responses leave them."""
+        webs = assemble(self.stored, self.responses, self.pages, scratch)
+        return webs if self.now is None else replace(webs, webs=webs.webs.withColumn("crawled_at", F.lit(self.now)))
 
 
 def answers(table: DataFrame) -> Fetch:
@@ -142,13 +150,10 @@ def crawl(stored: Webs, threads: Fetch, quotes: Fetch, scratch: Scratch, max_dep
         due = scratch.save(after.join(_all([*asked, *covered]), _KEY, "left_anti"), "due")
         asked.append(due)
 
-    webs = assemble(stored, _all(responses), _all(pages), scratch)
-    if now is not None:
-        webs = replace(webs, webs=webs.webs.withColumn("crawled_at", F.lit(now)))
     jobs = _all(log)
     posts_of = _all([f.select("web_id") for f in found]).groupBy("web_id").agg(F.count("*").alias("posts"))
     pending = jobs.where("state = 'pending'").groupBy("web_id").agg(F.count("*").alias("pending"))
     ends = web_ids.join(posts_of, "web_id", "left").join(pending, "web_id", "left").na.fill(0)
     spent, most = clock() - began, float("inf") if deadline_s is None else deadline_s
     reason = stop_reason(F.lit(float(spent)), most, F.col("posts"), max_posts if max_posts is not None else 1 << 62)
-    return Crawl(webs, _all(found).where("depth is not null").select(*_KEY, "depth"), jobs, ends.select("web_id", reason.alias("reason"), "posts", "pending"))
+    return Crawl(stored, _all(responses), _all(pages), _all(found).where("depth is not null").select(*_KEY, "depth"), jobs, ends.select("web_id", reason.alias("reason"), "posts", "pending"), now)

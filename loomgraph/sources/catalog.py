@@ -1,4 +1,4 @@
-"""A store of webs as Parquet tables, in folders by a hash of web_id."""
+"""A store of webs as Parquet tables: what it holds, and looking webs up by name."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import rkey_of
-from loomgraph.schema import POSTS, QUOTE_EDGES, THREADS, WEBS, Webs
-from loomgraph.store import Scratch, delete, exists
+from loomgraph.schema import Webs
+from loomgraph.sources.snapshots import append, current, read_parts, write_part
 
-_TABLES = {"webs": WEBS, "threads": THREADS, "posts": POSTS, "edges": QUOTE_EDGES}
-BUCKETS = 256  # folders of a table, however many webs it holds
 _NAMED = 20  # names that an error shows
 
 
@@ -27,44 +25,18 @@ class Ambiguous(LookupError):
         self.count = count
 
 
-def bucket_of(web_id: Column) -> Column:
-    return F.pmod(F.xxhash64(web_id), F.lit(BUCKETS)).cast("int")
-
-
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table with its ``bucket``; an empty one where nothing is stored yet."""
-    schema = f"{schema}, bucket int"
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
-def replace_buckets(table: DataFrame, path: str, touched: list[int], scratch: Scratch) -> None:
-    """Put ``table`` (with ``bucket``) in the place of all that ``path`` holds in the buckets ``touched``.
-
-    The rows are written to the scratch folder first, so none is read from what is being replaced, also where
-    an executor is lost meanwhile.
-    """
-    staged = scratch.save(table, "staged")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    filled = {r[0] for r in staged.select("bucket").distinct().collect()}
-    for bucket in set(touched) - filled:
-        delete(table.sparkSession, f"{path}/bucket={bucket}")
-
-
 def save_webs(webs: Webs, path: str) -> None:
-    """Write the webs; those stored under the same web_id are replaced whole, others stay."""
+    """Write the webs; those stored under the same web_id are replaced whole, others stay. The files are new ones, and
+    readers see all of the change or nothing."""
     spark = webs.webs.sparkSession
-    scratch = Scratch(spark, "save")
-    given = scratch.save(webs.webs.select("web_id", bucket_of(F.col("web_id")).alias("bucket")).distinct(), "given")
-    touched = [r[0] for r in given.select("bucket").distinct().collect()]
-    for name, schema in _TABLES.items():
-        new = getattr(webs, name)
-        old = read_table(spark, f"{path}/{name}", schema).where(F.col("bucket").isin(touched)).join(given.select("web_id"), "web_id", "left_anti")
-        replace_buckets(old.unionByName(new.withColumn("bucket", bucket_of(F.col("web_id")))), f"{path}/{name}", touched, scratch)
+    before = current(spark, path)
+    append(spark, path, before, write_part(webs, path, "webs"))
 
 
-def stored_webs(spark: SparkSession, path: str) -> Webs:
-    """All stored webs; none where nothing is stored yet."""
-    return Webs(**{n: read_table(spark, f"{path}/{n}", s).drop("bucket") for n, s in _TABLES.items()})
+def stored_webs(spark: SparkSession, path: str, prefix: str = "") -> Webs:
+    """The webs of the store's last snapshot, or those whose web_id starts with ``prefix``, for which only files that
+    can hold such are read; none where nothing is stored yet."""
+    return read_parts(spark, path, current(spark, path).parts, prefix)
 
 
 def catalog(webs: Webs) -> DataFrame:
@@ -93,6 +65,11 @@ def load_web(webs: Webs, name: str) -> Webs:
     return webs.where(F.col("web_id") == first[0])
 
 
+def load_stored(spark: SparkSession, path: str, name: str) -> Webs:
+    """As :func:`load_web`, from the store's files that can hold webs of that name or prefix."""
+    return load_web(stored_webs(spark, path, name), name)
+
+
 def fresh(cache: DataFrame, now_ms: float, window_s: int = 300, kept_s: int = 30 * 86_400) -> DataFrame:
     """Cache entries (key, stored_ms, web_id) younger than ``kept_s``: adds age_s and fresh (within ``window_s``)."""
     age = F.floor(F.greatest(F.lit(0.0), (F.lit(float(now_ms)) - F.col("stored_ms")) / 1000)).cast("bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -25,6 +26,39 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where it is missing."""
+    files, where = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    files, where = _at(spark, path)
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file, whole or not at all; False where it is there already."""
+    files, where = _at(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f"_{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(draft, where, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        files.delete(draft, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
 class Scratch:
     """A folder for one job's tables, under ``spark.checkpoint.dir``; where that is unset, under a temporary
     folder on a local master, and an error on a cluster, whose executors wouldn't share one."""

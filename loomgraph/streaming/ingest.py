@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomgraph.operators.recrawl import merge_posts
-from loomgraph.schema import POSTS, THREADS
-from loomgraph.sources.catalog import bucket_of, read_table, replace_buckets
+from loomgraph.functions.ids import is_post_uri
+from loomgraph.schema import Webs
+from loomgraph.sources.snapshots import append, current, read_parts, write_part
 from loomgraph.store import Scratch
 
 
@@ -18,27 +18,48 @@ def latest(posts: DataFrame) -> DataFrame:
     return posts.withColumn("_last", last).where("_last = 1").drop("_last")
 
 
+def quoted_by_embed(fresh: DataFrame, stored: Webs) -> DataFrame:
+    """(web_id, source, target): what new posts quote by embed among all posts, and what stored posts quote among the
+    new ones, but for edges that are stored."""
+    key = ["web_id", "uri"]
+    quotes = lambda posts: posts.where(is_post_uri(F.col("embed_uri"))).select("web_id", F.col("embed_uri").alias("source"), F.col("uri").alias("target"))
+    there = lambda posts: posts.select("web_id", F.col("uri").alias("source")).distinct()
+    new = fresh.join(stored.posts.select(*key), key, "left_anti")
+    ahead = quotes(new).join(there(new.select(*key).union(stored.posts.select(*key))), ["web_id", "source"], "left_semi")
+    behind = quotes(stored.posts).join(there(new), ["web_id", "source"], "left_semi")
+    return ahead.union(behind).distinct().join(stored.edges, ["web_id", "source", "target"], "left_anti")
+
+
 def ingest(posts: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Merge a stream of posts into the posts of the store at ``path`` (as ``catalog.save_webs`` writes it): known
-    posts get new counts, others are added; threads that are new to their web follow its others.
+    """Merge a stream of posts into the store at ``path`` (as ``catalog.save_webs`` writes it): known posts get new counts,
+    others are added; threads that are new to their web follow its others, as do edges to what new posts embed.
 
-    Only the folders that a batch touches are read and rewritten, from a copy written first. A batch that is
-    run again gives the same table.
+    A batch is written as a delta of its own rows and read with what is stored; nothing that is stored is written
+    again but deltas, when several become one. The snapshot names the last batch of each stream (by its
+    ``checkpoint``), so a batch that is run again changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        scratch = Scratch(spark, f"ingest-{number}")
-        fresh = scratch.save(latest(batch).withColumn("bucket", bucket_of(F.col("web_id"))), "batch")
-        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
-        old = lambda name, schema: read_table(spark, f"{path}/{name}", schema).where(F.col("bucket").isin(touched))
-        replace_buckets(merge_posts(old("posts", POSTS), fresh), f"{path}/posts", touched, scratch)
-        threads = old("threads", THREADS)
-        top = threads.groupBy("web_id").agg(F.max("thread_ord").alias("top"))
-        begun = fresh.groupBy("web_id", "bucket", "thread_root").agg(F.min(F.struct("thread_ord", "post_ord")).alias("at")).join(threads, ["web_id", "thread_root"], "left_anti")
+        before = current(spark, path)
+        if before.streams.get(checkpoint, -1) >= number:
+            return
+        fresh = Scratch(spark, f"ingest-{number}").save(latest(batch), "batch")
+        given = fresh.select("web_id").distinct()
+        stored = read_parts(spark, path, before.parts)
+        stored = Webs(*(t.join(given, "web_id", "left_semi") for t in (stored.webs, stored.threads, stored.posts, stored.edges)))
+        top = stored.threads.groupBy("web_id").agg(F.max("thread_ord").alias("top"))
+        begun = fresh.groupBy("web_id", "thread_root").agg(F.min(F.struct("thread_ord", "post_ord")).alias("at")).join(stored.threads, ["web_id", "thread_root"], "left_anti")
         place = F.row_number().over(Window.partitionBy("web_id").orderBy("at", "thread_root"))
-        new = begun.join(top, "web_id", "left").withColumn("thread_ord", (F.coalesce("top", F.lit(-1)) + place).cast("int"))
-        replace_buckets(threads.unionByName(new.select(*threads.columns)), f"{path}/threads", touched, scratch)
+        threads = begun.join(top, "web_id", "left").withColumn("thread_ord", (F.coalesce("top", F.lit(-1)) + place).cast("int"))
+        last = stored.edges.groupBy("web_id").agg(F.max("edge_ord").alias("last"))
+        behind = F.row_number().over(Window.partitionBy("web_id").orderBy("source", "target"))
+        edges = quoted_by_embed(fresh, stored).withColumn("k", behind).join(last, "web_id", "left").withColumn("edge_ord", (F.coalesce("last", F.lit(-1)) + F.col("k")).cast("int"))
+        roots = stored.posts.select("web_id", "uri", "thread_root").unionByName(fresh.select("web_id", "uri", "thread_root").join(stored.posts, ["web_id", "uri"], "left_anti"))
+        for end in ("source", "target"):
+            edges = edges.join(roots.select("web_id", F.col("uri").alias(end), F.col("thread_root").alias(f"{end}_thread")), ["web_id", end])
+        delta = Webs(stored.webs.limit(0), threads.select(*stored.threads.columns), fresh.select(*stored.posts.columns), edges.select(*stored.edges.columns))
+        append(spark, path, before, write_part(delta, path, "posts"), {**before.streams, checkpoint: number})
 
     writer = posts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -85,6 +85,16 @@ def test_the_last_owner_of_a_handle_counts_and_the_root_is_resolved(spark, fetch
     assert edges(after) == [(uri("ann", "n1"), uri("kim", "k1"), uri("ann", "n1"), uri("kim", "k1"))]
 
 
+def test_of_stored_owners_of_a_handle_the_last_in_web_order_counts(spark, fetch):
+    posts = [post(uri("abe", 1), "abe", 1, "", "", handle="x.example"), post(uri("zed", 1), "zed", 1, "", "", handle="x.example")]
+    asks = tree(shown("kim", "k1", embed="at://x.example/app.bsky.feed.post/1"))
+    for order in (posts, posts[::-1]):
+        web = make(spark, order, [])
+        for parts in (web.posts.orderBy("uri").coalesce(1), web.posts.orderBy(F.desc("uri")).coalesce(1)):
+            after = fetch(Webs(web.webs, web.threads, parts, web.edges), [(1, uri("kim", "k1"), asks)])
+            assert [e[:2] for e in edges(after)] == [(order[1]["uri"], uri("kim", "k1"))]
+
+
 def test_nothing_fetched_changes_nothing(spark, fetch):
     web = make(spark, bees(), threads=[uri("ann", "empty")])
     after = fetch(web)

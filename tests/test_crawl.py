@@ -31,8 +31,9 @@ def test_bees_are_crawled_whole(spark):
     done, found, jobs, stops = run(spark, web, now="2026-01-02T00:00:00Z")
     assert found == {(HIVES, 0), (SLOPE, 0), (MILL, 0), (YAY, 0), (SOUTH, 0), (STING, 1)}
     assert jobs == {("threads", HIVES, 0, "done"), ("quotes", HIVES, 0, "done"), ("quotes", SLOPE, 0, "done"), ("threads", YAY, 1, "done"), ("threads", SOUTH, 1, "done")}
-    assert stops == [("complete", 6, 0)] and done.webs.webs.first().crawled_at == "2026-01-02T00:00:00Z"
-    assert {(r.source, r.target, r.source_thread, r.target_thread) for r in done.webs.edges.collect()} == {(HIVES, YAY, HIVES, YAY), (SLOPE, SOUTH, HIVES, SOUTH)}
+    webs = done.webs(Scratch(spark, "webs"))
+    assert stops == [("complete", 6, 0)] and webs.webs.first().crawled_at == "2026-01-02T00:00:00Z"
+    assert {(r.source, r.target, r.source_thread, r.target_thread) for r in webs.edges.collect()} == {(HIVES, YAY, HIVES, YAY), (SLOPE, SOUTH, HIVES, SOUTH)}
 
 
 def random_web(spark, seed):
@@ -71,7 +72,7 @@ def test_what_fetched_posts_name_is_due_next_also_by_handle(spark):
     assert found == {(a, 0), (uri("dan", "d"), 0), (b, 1), (c, 1)}
     assert ("threads", far, 1, "failed") in jobs and len(jobs) == 4 and stops == [("complete", 4, 0)]
     # links found before their ends were fetched are edges in the end
-    assert {(r.source, r.target) for r in done.webs.edges.collect()} == {(b, a), (c, a), (b, c), (a, uri("dan", "d"))}
+    assert {(r.source, r.target) for r in done.webs(Scratch(spark, "webs")).edges.collect()} == {(b, a), (c, a), (b, c), (a, uri("dan", "d"))}
 
 
 def test_limits_leave_jobs_pending(spark):
@@ -105,4 +106,4 @@ def test_pages_up_to_the_first_that_fails(spark):
 def test_webs_without_a_response(spark):
     done, found, jobs, stops = run(spark, make(spark, [], [], root="at://x/app.bsky.feed.post/1"))
     assert (found, jobs, stops) == (set(), {("threads", "at://x/app.bsky.feed.post/1", 0, "failed")}, [("complete", 0, 0)])
-    assert done.webs.posts.count() == 0
+    assert done.webs(Scratch(spark, "webs")).posts.count() == 0
