@@ -57,6 +57,11 @@ def main_characters(webs: Webs, k: int = 10) -> DataFrame:
     return top(by, k, F.desc("engagement"), "first").select("web_id", "rnk", "handle", "name", "engagement")
 
 
+def leading_authors(tallies: DataFrame, by: str, k: int = 10) -> DataFrame:
+    """As :func:`top_authors` (``by`` posts) or :func:`main_characters` (``by`` engagement), from a store's tallies."""
+    return top(tallies.where("posts > 0"), k, F.desc(by), "first").select("web_id", "rnk", "handle", "name", by)
+
+
 def top_posts(webs: Webs, k: int = 10) -> DataFrame:
     """The posts with the highest engagement, in web order where equal."""
     return top(webs.posts.withColumn("engagement", engagement()), k, F.desc("engagement"), "thread_ord", "post_ord")
@@ -143,10 +148,11 @@ def _contains(column: Column, part: str) -> Column:
     return F.contains(F.lower(column), F.lower(F.lit(part)))
 
 
-def search(webs: Webs, query: str | None = None, author: str | None = None) -> DataFrame:
+def search(webs: Webs, query: str | None = None, author: str | None = None, among: DataFrame | None = None) -> DataFrame:
     """n, post, thread_size, snippet: posts whose text and whose handle contain what is asked, in either case, by
-    time. Without criteria no rows."""
-    found = webs.posts
+    time. Without criteria no rows. ``among`` (web_id, uri), as ``postings.candidates`` gives it, says which posts alone
+    can match the query."""
+    found = webs.posts if among is None else webs.at(among).posts
     if query:
         found = found.where(_contains(F.col("text"), query))
     if author:

@@ -138,7 +138,12 @@ UNION ALL SELECT DISTINCT 'threads', thread_root, CAST(depth AS BIGINT), 'done'
 SELECT uri, count(*) FILTER (NOT odd OR k <= 2) AS quotes, bool_or(odd AND k > 2) AS partial FROM placed GROUP BY uri""",
     "assembled_posts": f"""WITH {_C}, {_ASSEMBLED} SELECT uri, root AS thread_root, CAST(spot AS BIGINT) AS post_ord, text || CASE WHEN stored OR NOT fetched THEN '' ELSE ' (edited)' END AS text, likes + CASE WHEN fetched THEN 1 ELSE 0 END AS likes FROM web""",
     "assembled_edges": f"""WITH {_C}, {_ASSEMBLED} SELECT e.source, e.target, s.root AS source_thread, t.root AS target_thread FROM edges e JOIN web s ON s.uri = e.source JOIN web t ON t.uri = e.target WHERE t.post_ord = 0""",
+    "tallied_characters": f"""WITH {_C}, a AS (SELECT handle, CAST(sum(likes + reposts + quotes + CASE WHEN thread_ord % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS engagement, min((thread_ord, post_ord)) AS f, arg_min(name, (thread_ord, post_ord)) AS name
+FROM named WHERE thread_ord % 2 = 0 OR thread_ord % 3 <> 0 GROUP BY handle)
+SELECT rnk, handle, name, engagement FROM (SELECT *, row_number() OVER (ORDER BY engagement DESC, f) AS rnk FROM a) WHERE rnk <= 10""",
     "recrawl_merge": f"""WITH {_C} SELECT uri, CASE WHEN thread_ord % 2 = 0 THEN text ELSE text || ' (edited)' END AS text, likes + CASE WHEN thread_ord % 3 <> 0 THEN 1 ELSE 0 END AS likes
 FROM posts WHERE thread_ord % 2 = 0 OR thread_ord % 3 <> 0""",
     "catalog_prefix_lookup": f"WITH {_C}, n AS (SELECT regexp_extract(thread_root, '[^/]+$') || '-' || substr(sha256(thread_root), 1, 6) AS w, count(*) AS k FROM posts GROUP BY 1) SELECT substr(w, 1, 3) AS prefix, count(*) AS matches, CAST(sum(k) AS BIGINT) AS posts, count(*) AS threads FROM n GROUP BY 1",
 }
+# the same rows by another way
+ORACLES |= {"search_indexed": ORACLES["search_text"], "ranked_preorder": ORACLES["tree_preorder"], "store_deltas": ORACLES["recrawl_merge"]}

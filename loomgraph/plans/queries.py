@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ids
 from loomgraph.functions.text import author_name, short_time, split_lines, truncate
-from loomgraph.operators import assembly, crawl, graph, recrawl
+from loomgraph.operators import assembly, crawl, graph, postings, recrawl
 from loomgraph.plans import lenses, render
 from loomgraph.schema import Webs
-from loomgraph.sources import catalog, network, webjson, wire
+from loomgraph.sources import catalog, network, snapshots, webjson, wire
 from loomgraph.sources.testdata import conversations_web as C
 from loomgraph.sources.testdata import events_web as E
 from loomgraph.sources.testdata import orders_web as O  # noqa: E741, N812
@@ -122,6 +122,14 @@ def search_text(w: Webs) -> DataFrame:
     return _search(w, query=TEXT)
 
 
+@_query(C)
+def search_indexed(w: Webs, scratch: Scratch) -> DataFrame:
+    """As search_text, over an index of trigrams."""
+    path = scratch.path("postings")
+    postings.index_texts(w.posts, path)
+    return _search(w, query=TEXT, among=postings.candidates(w.posts.sparkSession, path, TEXT))
+
+
 @_query(C)
 def search_author(w: Webs) -> DataFrame:
     return _search(w, author=HANDLE)
@@ -168,6 +176,14 @@ def tree_preorder(w: Webs, scratch: Scratch) -> DataFrame:
     return lenses.tree(w, scratch).select("seq", "section", "depth", "tag", "uri")
 
 
+@_query(C)
+def ranked_preorder(w: Webs, scratch: Scratch) -> DataFrame:
+    """As tree_preorder, by list ranking as for a large web."""
+    nodes = w.nodes()
+    children = graph.child_edges(nodes, w.edges)
+    return graph.ranked_walk(nodes, children, graph.tree_roots(w, scratch), scratch).select("seq", "section", "depth", "tag", "uri")
+
+
 @_query(C)
 def neighborhood_preorder(w: Webs, scratch: Scratch) -> DataFrame:
     return lenses.neighborhood_walk(w, scratch, 3).select("seq", "section", "depth", "tag", "uri")
@@ -269,6 +285,32 @@ def recrawl_merge(w: Webs) -> DataFrame:
     return recrawl.merge_posts(stored, fetched).select("uri", "text", F.col("like_count").alias("likes"))
 
 
+def _with_deltas(w: Webs, scratch: Scratch) -> str:
+    """A store with the even conversations, and four deltas with those not divisible by three, edited and liked once
+    more."""
+    spark, path = w.posts.sparkSession, f"{scratch.root}/store"
+    catalog.save_webs(Webs(w.webs, w.threads.where("thread_ord % 2 = 0"), w.posts.where("thread_ord % 2 = 0"), w.edges.limit(0)), path)
+    fetched = w.posts.where("thread_ord % 3 <> 0").withColumn("like_count", F.col("like_count") + 1).withColumn("text", F.concat("text", F.lit(" (edited)")))
+    for k in range(4):
+        part = Webs(w.webs.limit(0), w.threads.where(f"thread_ord % 6 in (1, 5) and thread_ord % 4 = {k}"), fetched.where(f"thread_ord % 4 = {k}"), w.edges.limit(0))
+        snapshots.add_posts(spark, path, part)
+    return path
+
+
+@_query(C)
+def store_deltas(w: Webs, scratch: Scratch) -> DataFrame:
+    """As recrawl_merge, from a store with deltas."""
+    return catalog.stored_webs(w.posts.sparkSession, _with_deltas(w, scratch), "conv").posts.select("uri", "text", F.col("like_count").alias("likes"))
+
+
+@_query(C)
+def tallied_characters(w: Webs, scratch: Scratch) -> DataFrame:
+    """The authors whose posts drew most, from the tallies of a store with deltas."""
+    spark, path = w.posts.sparkSession, _with_deltas(w, scratch)
+    tallies = snapshots.tallies(spark, path, snapshots.current(spark, path).parts)
+    return lenses.leading_authors(tallies, "engagement").select(*_long("rnk"), "handle", "name", *_long("engagement"))
+
+
 def _fetched(key: tuple, turns: pd.DataFrame) -> pd.DataFrame:
     """As :func:`_response`, edited and liked once more; what the thread quotes is named by its author's handle, in
     an embed or, in odd conversations, in a link."""

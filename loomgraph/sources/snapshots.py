@@ -3,7 +3,9 @@
 A part is a folder of the four tables, sorted by web_id, with an index of the web_ids that each file spans. A snapshot
 is one small file that lists the parts that count, in their order; a write makes a part and then the next snapshot,
 so all four tables change at once, and what a reader has opened stays. Parts of kind ``webs`` replace webs whole; parts
-of kind ``posts`` are deltas that readers merge: counts of known posts, new posts, threads and edges.
+of kind ``posts`` are deltas that readers merge: counts of known posts, new posts, threads and edges. Every part also holds a
+tally: what it adds to, or takes from, the posts and engagement of each handle, so rankings of authors are sums over
+the parts' tallies and read no posts.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import author_name, engagement
 from loomgraph.operators.recrawl import merge_posts
 from loomgraph.schema import POSTS, QUOTE_EDGES, THREADS, WEBS, Webs
 from loomgraph.store import create_file, delete, names_in, read_file
@@ -23,6 +26,7 @@ from loomgraph.store import create_file, delete, names_in, read_file
 _TABLES = {"webs": WEBS, "threads": THREADS, "posts": POSTS, "edges": QUOTE_EDGES}
 _ORDER = {"webs": ["web_id"], "threads": ["web_id", "thread_ord"], "posts": ["web_id", "thread_ord", "post_ord"], "edges": ["web_id", "edge_ord"]}
 _INDEX = "table string, file string, low string, high string"
+_TALLY = "web_id string, handle string, posts bigint, engagement bigint, first struct<thread_ord:int,post_ord:int>, name string"
 FAN = 8  # deltas of a level that become one of the next
 
 
@@ -64,9 +68,32 @@ def commit(spark: SparkSession, path: str, before: Snapshot, parts: tuple[Part,
     return after
 
 
-def write_part(webs: Webs, path: str, kind: str, level: int = 0) -> Part:
+def _summed(tallies: DataFrame) -> DataFrame:
+    return tallies.groupBy("web_id", "handle").agg(F.sum("posts").alias("posts"), F.sum("engagement").alias("engagement"), F.min("first").alias("first"), F.min_by("name", "first").alias("name"))
+
+
+def tally(posts: DataFrame) -> DataFrame:
+    """(web_id, handle, posts, engagement, first, name): each handle's posts, what they drew, the place of the first and
+    the author's name there."""
+    place = F.struct("thread_ord", "post_ord")
+    return _summed(posts.select("web_id", F.col("author.handle").alias("handle"), F.lit(1).cast("bigint").alias("posts"), engagement().alias("engagement"), place.alias("first"), author_name(F.col("author")).alias("name")))
+
+
+def tally_changes(fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """What posts that arrive change in the tally of the ``stored`` ones: new posts count as in :func:`tally`, known ones
+    by how much their engagement rose or fell, under the handle they are stored with."""
+    key = ["web_id", "uri"]
+    was = stored.select(*key, F.col("author.handle").alias("handle"), engagement().alias("was"))
+    none = F.lit(None)
+    known = fresh.select(*key, engagement().alias("now")).join(was, key).select("web_id", "handle", F.lit(0).cast("bigint").alias("posts"), (F.col("now") - F.col("was")).alias("engagement"), none.cast("struct<thread_ord:int,post_ord:int>").alias("first"), none.cast("string").alias("name"))
+    return _summed(known.unionByName(tally(fresh.join(was.select(*key), key, "left_anti"))))
+
+
+def write_part(webs: Webs, path: str, kind: str, level: int = 0, changes: DataFrame | None = None) -> Part:
     """Write the tables as a part that no snapshot names yet. Files are ranges of web_id and order, as many as the
-    data fills; a large web lies in several."""
+    data fills; a large web lies in several. ``changes``: a delta's tally."""
+    if (kind == "posts") != (changes is not None):
+        raise ValueError("deltas, and only they, come with changes of the tally")
     spark, part = webs.webs.sparkSession, Part(uuid.uuid4().hex, kind, level)
     home = f"{path}/data/{part.name}"
     spans = []
@@ -76,6 +103,7 @@ def write_part(webs: Webs, path: str, kind: str, level: int = 0) -> Part:
         written = spark.read.schema(schema).parquet(f"{home}/{name}")
         file = F.substring_index("_metadata.file_path", "/", -1)
         spans.append(written.groupBy(file.alias("file")).agg(F.min("web_id").alias("low"), F.max("web_id").alias("high")).select(F.lit(name).alias("table"), "file", "low", "high"))
+    (tally(webs.posts) if changes is None else changes).repartitionByRange("web_id", "handle").write.parquet(f"{home}/tally")
     spans[0].union(spans[1]).union(spans[2]).union(spans[3]).coalesce(1).write.parquet(f"{home}/index")
     return part
 
@@ -109,13 +137,32 @@ def read_parts(spark: SparkSession, path: str, parts: tuple[Part, ...], prefix:
     return webs if not prefix else webs.where(F.col("web_id").startswith(prefix))
 
 
+def tallies(spark: SparkSession, path: str, parts: tuple[Part, ...]) -> DataFrame:
+    """The tally of the webs that the parts give, summed up from theirs."""
+    rows = spark.createDataFrame([], _TALLY)
+    for part in parts:
+        home = f"{path}/data/{part.name}"
+        if part.kind == "webs":
+            rows = rows.join(spark.read.schema(WEBS).parquet(f"{home}/webs").select("web_id").distinct(), "web_id", "left_anti")
+        rows = rows.unionByName(spark.read.schema(_TALLY).parquet(f"{home}/tally"))
+    return _summed(rows)
+
+
+def add_posts(spark: SparkSession, path: str, delta: Webs, streams: dict[str, int] | None = None, stored: Webs | None = None) -> Snapshot:
+    """Commit a delta: posts (one row for each URI), and threads and edges that are new. ``stored``: what the last
+    snapshot has of the delta's webs, where the caller has read it."""
+    before = current(spark, path)
+    posts = (stored or read_parts(spark, path, before.parts)).posts
+    return append(spark, path, before, write_part(delta, path, "posts", 0, tally_changes(delta.posts, posts)), streams)
+
+
 def append(spark: SparkSession, path: str, before: Snapshot, part: Part, streams: dict[str, int] | None = None) -> Snapshot:
     """Commit a new part on top of ``before``. Where it makes ``FAN`` deltas of one level in a row, they become one delta
     of the next level, so n deltas are read as about log(n) parts and each is written again as often."""
     parts = (*before.parts, part)
     while len(parts) >= FAN and all(p.kind == "posts" and p.level == parts[-1].level for p in parts[-FAN:]):
         several = parts[-FAN:]
-        parts = (*parts[:-FAN], write_part(read_parts(spark, path, several), path, "posts", several[0].level + 1))
+        parts = (*parts[:-FAN], write_part(read_parts(spark, path, several), path, "posts", several[0].level + 1, tallies(spark, path, several)))
     return commit(spark, path, before, parts, streams)
 
 

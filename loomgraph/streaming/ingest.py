@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.functions.ids import is_post_uri
 from loomgraph.schema import Webs
-from loomgraph.sources.snapshots import append, current, read_parts, write_part
+from loomgraph.sources.snapshots import append, current, read_parts, tally_changes, write_part
 from loomgraph.store import Scratch
 
 
@@ -59,7 +59,8 @@ def ingest(posts: DataFrame, path: str, checkpoint: str, available_now: bool = F
         for end in ("source", "target"):
             edges = edges.join(roots.select("web_id", F.col("uri").alias(end), F.col("thread_root").alias(f"{end}_thread")), ["web_id", end])
         delta = Webs(stored.webs.limit(0), threads.select(*stored.threads.columns), fresh.select(*stored.posts.columns), edges.select(*stored.edges.columns))
-        append(spark, path, before, write_part(delta, path, "posts"), {**before.streams, checkpoint: number})
+        changes = tally_changes(fresh, stored.posts)
+        append(spark, path, before, write_part(delta, path, "posts", 0, changes), {**before.streams, checkpoint: number})
 
     writer = posts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
