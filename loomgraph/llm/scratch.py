@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
+_opened: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +32,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomgraph/{label}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._tables = 0, []
+        _opened.append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -56,6 +58,7 @@ class Scratch:
         path, table = self.path(name), f"scratch_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+        self._tables.append(table)
         return self.spark.table(table)
 
     def drop(self, table: DataFrame) -> None:
@@ -65,3 +68,17 @@ class Scratch:
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def close(self) -> None:
+        """Delete all tables; plans that read them can't run any more."""
+        for table in self._tables:
+            self.spark.sql(f"drop table if exists {table}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def opened() -> list[Scratch]:
+    """The scratch folders opened since the last call, for a caller that knows when their tables are of no further use."""
+    out = list(_opened)
+    _opened.clear()
+    return out
