@@ -9,10 +9,16 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from loomgraph.llm.conversation_trie import Trie
+from loomgraph.llm.fill_in_middle import FillInMiddle
 from loomgraph.llm.queries import QUERIES
 from loomgraph.llm.scratch import Scratch
 from loomgraph.llm.secrets import LEDGER
+from tests.llm.test_conversation_trie import brute as trie
+from tests.llm.test_conversation_trie import conversations
 from tests.llm.test_documents import awkward, words
+from tests.llm.test_fill_in_middle import plain_version
+from tests.llm.test_suffix_index import brute
 
 _BASE = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), "access": (re.compile("AKIA[A-Z0-9]+"), 0, 16), "hex": (re.compile("[0-9a-f]+"), 0, 32)}
 
@@ -155,3 +161,24 @@ def test_op8_and_its_ledger(spark, sf_dir, result, tmp_path):
         spark.conf.unset(LEDGER)
 
 
+
+
+def test_op11(result):
+    rows = by_id(result(11))
+    texts = [r[:2] for r in documents()]
+    want = [(d, n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for (d, _), (n, spans, kept) in zip(texts, brute([t for _, t in texts], 400), strict=True)]
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+
+
+def test_op12(result):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(d, *plain_version(d, t, FillInMiddle()), t or "") for d, t in (r[:2] for r in documents())]
+    assert sorted(map(repr, map(tuple, by_id(result(12))))) == sorted(repr((d, n, form, p, m, sha(out), sha(t))) for d, n, form, p, m, out, t in want)
+
+
+def test_op13(spark, tmp_path):
+    rows = conversations()[:200]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depth int, fp string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op13_prefix_trie"](spark, str(tmp_path))
+    assert got.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, trie(rows, Trie())))
