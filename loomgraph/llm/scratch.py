@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,15 +41,21 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table, so that a lost executor costs a read and no recomputation."""
-        path = self.path(name)
+    @contextmanager
+    def _freeing(self) -> Iterator[None]:
+        """While it lasts, the shuffle files of a finished write, which are of no further use, are deleted."""
         conf, was = self.spark.conf, self.spark.conf.get(_CLEANUP)
-        conf.set(_CLEANUP, "true")  # the shuffle files of a finished write are of no further use
+        conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            yield
         finally:
             conf.set(_CLEANUP, was)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return the written table, so that a lost executor costs a read and no recomputation."""
+        path = self.path(name)
+        with self._freeing():
+            df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path
         return table
@@ -57,7 +65,8 @@ class Scratch:
         aggregations on it read the table as it lies."""
         path, table = self.path(name), f"scratch_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
+        with self._freeing():
+            df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(table)
         self._tables.append(table)
         return self.spark.table(table)
 
