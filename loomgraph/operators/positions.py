@@ -9,6 +9,9 @@ from loomgraph.store import Scratch
 
 _ROWS = 33  # bits of a row's place in its partition, as monotonically_increasing_id gives it
 
+#: Blocks of a text that one part of it holds.
+PART_BLOCKS = 1024
+
 
 def numbered(rows: DataFrame, by: list[str], order: list[str], scratch: Scratch, name: str = "n") -> DataFrame:
     """Add ``name``, a row's number from 1 in ``order`` within its ``by``, and ``total``, the rows of that group.
@@ -40,3 +43,13 @@ def suffix_sums(items: DataFrame, scratch: Scratch) -> DataFrame:
         summed = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names]
         now = scratch.save(now.join(ahead, "next", "left").select("id", F.col("_next").alias("next"), *summed), "list")
     return now.select("id", *names)
+
+
+def text_parts(blocks: DataFrame, order: list[str], scratch: Scratch, between: str = "") -> DataFrame:
+    """(web_id, part, text): each web's blocks (web_id, ``order``, block) in order, as texts of up to ``PART_BLOCKS``
+    blocks that follow one another from part 0, with ``between`` before all blocks but a web's first."""
+    placed = numbered(blocks, ["web_id"], order, scratch, "n")
+    shown = F.concat(F.when(F.col("n") > 1, between).otherwise(""), "block")
+    rows = placed.select("web_id", F.floor((F.col("n") - 1) / PART_BLOCKS).cast("bigint").alias("part"), "n", shown.alias("block"))
+    ordered = F.sort_array(F.collect_list(F.struct("n", "block")))
+    return rows.groupBy("web_id", "part").agg(F.array_join(F.transform(ordered, lambda b: b["block"]), "").alias("text"))

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.store import Scratch
+
 AUTHOR = "struct<did:string,handle:string,display_name:string>"
 FACETS = "array<struct<index:struct<byteStart:bigint,byteEnd:bigint>,features:array<struct<type:string,did:string,uri:string,tag:string>>>>"
 WEBS = "web_id string, root_uri string, crawled_at string, format_version int"
@@ -43,6 +45,10 @@ class Webs:
         one = self.posts.groupBy("web_id", "uri").agg(F.min(place).alias("first"), last)
         return one.select("web_id", "uri", "first.thread_ord", "first.post_ord", "last.*")
 
+    def saved(self, scratch: Scratch) -> Webs:
+        """The webs written once, so that what reads them again doesn't compute them again."""
+        return Webs(*(scratch.save(getattr(self, n), n) for n in ("webs", "threads", "posts", "edges")))
+
     def at(self, uris: DataFrame) -> Webs:
         """The webs with only the posts of ``uris`` (web_id, uri)."""
         return Webs(self.webs, self.threads, self.posts.join(uris.select("web_id", "uri"), ["web_id", "uri"], "left_semi"), self.edges)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import web_id
 from loomgraph.operators.graph import normalized_edges
+from loomgraph.operators.positions import text_parts
 from loomgraph.schema import AUTHOR, FACETS, Webs
-from loomgraph.store import exists
+from loomgraph.store import Scratch, exists
 
 _POST = (
     f"uri:string,cid:string,author:{AUTHOR},text:string,created_at:string,reply_parent:string,reply_root:string,embed_type:string,embed_uri:string,"
@@ -22,6 +24,9 @@ _META = "struct<format_version:int,root_uri:string,crawled_at:string,node_count:
 DOCUMENT = f"meta {_META}, threads map<string,struct<root_uri:string,posts:map<string,struct<{_POST}>>>>, quote_edges array<{_EDGE}>"
 _FIELDS = [f.split(":")[0] for f in ("uri", "cid", "author", "text", "created_at", "reply_parent", "reply_root", "embed_type", "embed_uri", "facets", "labels", "langs", "like_count", "reply_count", "repost_count", "quote_count")]
 
+#: What orders the pieces of a document: its sections, in them threads, in those their head, posts and end.
+_PLACE = ("section", "late", "thread_ord", "post_ord", "step", "at_thread", "at_post")
+
 
 def read_webs(spark: SparkSession, path: str) -> Webs:
     """The webs of the ``*.json`` files under ``path``; none where there is no such folder. A malformed document
@@ -70,33 +75,96 @@ def parse_webs(documents: DataFrame) -> Webs:
     )
 
 
-def web_documents(webs: Webs) -> DataFrame:
-    """(web_id, json): each web as one indented document, its edges cleaned and its counts in ``meta``.
-
-    A document is one row, so a web is gathered whole; that is what the format asks for.
-    """
-    # facets lose the payload keys that they don't have, which column JSON can't tell from nulls
-    def document(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "a", "b"])
-        by = {k: [json.loads(x) for x in rows.loc[rows["kind"] == k, "body"]] for k in range(4)}
-        meta, threads = by[0][0], {t["thread_root"]: {"root_uri": t["thread_root"], "posts": {}} for t in by[1]}
-        for p in by[2]:
-            facets = [{"index": f["index"], "features": [{k: v for k, v in x.items() if v is not None} for x in f["features"]]} for f in p["post"].get("facets") or []]
-            threads.setdefault(p["thread_root"], {"root_uri": p["thread_root"], "posts": {}})["posts"][p["post"]["uri"]] = {n: facets if n == "facets" else p["post"].get(n) for n in _FIELDS}
-        nodes = {p["post"]["uri"] for p in by[2]}
-        replies = sum(p["post"].get("reply_parent") is not None for p in by[2])
-        head = {"format_version": 2, "root_uri": meta["root_uri"], "crawled_at": meta["crawled_at"], "node_count": len(nodes), "edge_count": replies + len(by[3]), "thread_count": len(threads)}
-        out = json.dumps({"meta": head, "threads": threads, "quote_edges": by[3]}, indent=2, ensure_ascii=False)
-        return pd.DataFrame({"web_id": [key[0]], "json": [out]})
-
-    def rows(table: DataFrame, kind: int, a, b, *fields) -> DataFrame:
-        return table.select("web_id", F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
-
-    zero = F.lit(0)
-    parts = (
-        rows(webs.webs, 0, zero, zero, "root_uri", "crawled_at")
-        .unionByName(rows(webs.threads, 1, F.col("thread_ord"), zero, "thread_root"))
-        .unionByName(rows(webs.posts, 2, F.col("thread_ord"), F.col("post_ord"), "thread_root", F.struct(*_FIELDS).alias("post")))
-        .unionByName(rows(normalized_edges(webs), 3, F.col("edge_ord"), zero, "source", "target", "source_thread", "target_thread"))
+def _cleaned(post: dict) -> dict:
+    """A post's fields; facets lose the payload keys that they don't have, which column JSON can't tell from nulls."""
+    facets = [{"index": f["index"], "features": [{k: v for k, v in x.items() if v is not None} for x in f["features"]]} for f in post.get("facets") or []]
+    return {n: facets if n == "facets" else post.get(n) for n in _FIELDS}
+
+
+def _indented(value, depth: int) -> str:
+    return json.dumps(value, indent=2, ensure_ascii=False).replace("\n", "\n" + "  " * depth)
+
+
+def _block(kind: int, first: bool, filled: bool, key: str | None, body: str) -> str:
+    """A piece of a document; those of a web, in order, are the document. ``first``: nothing of the piece's kind stands
+    before it in what holds it; ``filled``: what it ends holds something."""
+    comma, name = "" if first else ",", json.dumps("null" if key is None else key, ensure_ascii=False)
+    if kind == 0:
+        return '{\n  "meta": ' + _indented(json.loads(body), 1) + ',\n  "threads": {'
+    if kind == 1:
+        return f'{comma}\n    {name}: {{\n      "root_uri": {"null" if key is None else name},\n      "posts": {{'
+    if kind == 2:
+        return f"{comma}\n        {name}: " + _indented(_cleaned(json.loads(body)), 4)
+    if kind == 3:
+        return ("\n      " if filled else "") + "}\n    }"
+    if kind == 4:
+        return ("\n  " if filled else "") + '},\n  "quote_edges": ['
+    if kind == 5:
+        return f"{comma}\n    " + _indented(json.loads(body), 2)
+    return ("\n  " if filled else "") + "]\n}"
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = [_block(*row) for row in batch[["kind", "first", "filled", "key", "body"]].itertuples(index=False)]
+        yield batch[["web_id", *_PLACE]].assign(block=made)
+
+
+def document_parts(webs: Webs, scratch: Scratch | None = None) -> DataFrame:
+    """(web_id, part, json): each web as one indented document, its edges cleaned and its counts in ``meta``, in parts
+    from 0 that follow one another. No task holds more of a web than a part."""
+    scratch = scratch or Scratch(webs.posts.sparkSession, "documents")
+    root, place = F.coalesce("thread_root", F.lit("null")).alias("root"), F.struct("thread_ord", "post_ord")
+    last = F.max_by(F.struct(*[c for c in _FIELDS if c != "uri"]), place)
+    posts = webs.posts.groupBy("web_id", root, "uri").agg(F.min(place).alias("at"), last.alias("post"), F.count("*").alias("n"), F.count("reply_parent").alias("replies"))
+    posts = scratch.save(posts, "posts")
+    edges = scratch.save(normalized_edges(webs), "edges")
+    # threads stand in their order, those that posts alone name behind them
+    begun = posts.groupBy("web_id", "root").agg(F.min("at").alias("at"))
+    named = webs.threads.select("web_id", root, "thread_root", F.struct(F.lit(0).alias("late"), "thread_ord", F.lit(-1).alias("post_ord")).alias("rank"))
+    late = begun.select("web_id", "root", F.nullif("root", F.lit("null")).alias("thread_root"), F.struct(F.lit(1).alias("late"), "at.thread_ord", "at.post_ord").alias("rank"))
+    threads = named.unionByName(late).groupBy("web_id", "root").agg(F.min("rank").alias("rank"), F.min("thread_root").alias("thread_root"))
+    threads = scratch.save(threads.join(begun, ["web_id", "root"], "left"), "threads")
+    heads = webs.webs.select("web_id", "root_uri", "crawled_at")
+    for counts in (
+        posts.groupBy("web_id").agg(F.count_distinct(F.coalesce("uri", F.lit("null"))).alias("node_count"), F.sum("replies").alias("replies")),
+        threads.groupBy("web_id").agg(F.count("*").alias("thread_count"), F.min("rank").alias("first_thread")),
+        edges.groupBy("web_id").agg(F.count("*").alias("edges"), F.min("edge_ord").alias("first_edge")),
+    ):
+        heads = heads.join(counts, "web_id", "left")
+    heads = heads.na.fill(0, ["node_count", "replies", "thread_count", "edges"]).withColumn("edge_count", F.col("replies") + F.col("edges"))
+    heads = scratch.save(heads, "heads")
+    no, none = F.lit(False), F.lit(None).cast("string")
+
+    def rows(table: DataFrame, section: int, kind: int, rank=None, at=None, first=no, filled=no, key=none, body=none) -> DataFrame:
+        zeros = F.lit(0)
+        of_rank = [rank[c] if rank is not None else zeros for c in ("late", "thread_ord", "post_ord")]
+        of_at = [at[c] if at is not None else zeros for c in ("thread_ord", "post_ord")]
+        whole = [F.lit(section), *of_rank, F.lit(kind), *of_at]
+        return table.select("web_id", *[x.cast("int").alias(n) for x, n in zip(whole, _PLACE, strict=True)], F.lit(kind).alias("kind"), first.alias("first"), filled.alias("filled"), key.alias("key"), body.alias("body"))
+
+    def column_json(*fields: str):
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+    firsts = heads.select("web_id", "first_thread", "first_edge")
+    opened, rank = threads.join(firsts, "web_id"), F.col("rank")
+    held = posts.join(threads.select("web_id", "root", "rank", F.col("at").alias("first_at")), ["web_id", "root"])
+    quoted, spot = edges.join(firsts, "web_id"), {"thread_ord": F.col("edge_ord"), "post_ord": F.lit(0)}
+    meta = column_json(F.lit(2).alias("format_version"), "root_uri", "crawled_at", "node_count", "edge_count", "thread_count")
+    pieces = (
+        rows(heads, 0, 0, body=meta)
+        .unionByName(rows(opened, 1, 1, rank, first=rank == F.col("first_thread"), key=F.col("thread_root")))
+        .unionByName(rows(held, 1, 2, rank, F.col("at"), first=F.col("at") == F.col("first_at"), key=F.col("uri"), body=column_json("uri", "post.*")))
+        .unionByName(rows(opened, 1, 3, rank, filled=F.col("at").isNotNull()))
+        .unionByName(rows(heads, 2, 4, filled=F.col("thread_count") > 0))
+        .unionByName(rows(quoted, 2, 5, at=spot, first=F.col("edge_ord") == F.col("first_edge"), body=column_json("source", "target", "source_thread", "target_thread")))
+        .unionByName(rows(heads, 3, 6, filled=F.col("edges") > 0))
     )
-    return parts.groupBy("web_id").applyInPandas(document, "web_id string, json string")
+    blocks = pieces.mapInPandas(_blocks, "web_id string, " + ", ".join(f"{n} int" for n in _PLACE) + ", block string")
+    return text_parts(blocks, list(_PLACE), scratch).withColumnRenamed("text", "json")
+
+
+def web_documents(webs: Webs) -> DataFrame:
+    """(web_id, json): each web's document as one row, for webs that a row can hold; see :func:`document_parts`."""
+    ordered = F.sort_array(F.collect_list(F.struct("part", "json")))
+    return document_parts(webs).groupBy("web_id").agg(F.array_join(F.transform(ordered, lambda p: p["json"]), "").alias("json"))
