@@ -45,16 +45,22 @@ def thread_size_histogram(webs: Webs) -> DataFrame:
     return sums.select("web_id", "total_threads", "largest", F.inline(rows))
 
 
+def _by_handle(webs: Webs, name: str, total: Column) -> DataFrame:
+    """(web_id, handle, ``name``, first, name): ``total`` of each handle's posts, the place of the first and the
+    author's name there. Posts are summed by handle and name in hash tables, without a sort: a place is one number."""
+    rows = webs.posts.select("web_id", F.col("author.handle").alias("handle"), author_name(F.col("author")).alias("name"), total.alias("total"), (F.shiftleft(F.col("thread_ord").cast("bigint"), 32) + F.col("post_ord")).alias("first"))
+    each = rows.groupBy("web_id", "handle", "name").agg(F.sum("total").alias("total"), F.min("first").alias("first"))
+    return each.groupBy("web_id", "handle").agg(F.sum("total").alias(name), F.min("first").alias("first"), F.min_by("name", "first").alias("name"))
+
+
 def top_authors(webs: Webs, k: int = 10) -> DataFrame:
     """rnk, handle, name (as on the handle's first post), posts: most posts first, then first appearance."""
-    by = webs.posts.groupBy("web_id", F.col("author.handle").alias("handle")).agg(F.count("*").alias("posts"), F.min(_place()).alias("first"), F.min_by(author_name(F.col("author")), _place()).alias("name"))
-    return top(by, k, F.desc("posts"), "first").select("web_id", "rnk", "handle", "name", "posts")
+    return top(_by_handle(webs, "posts", F.lit(1)), k, F.desc("posts"), "first").select("web_id", "rnk", "handle", "name", "posts")
 
 
 def main_characters(webs: Webs, k: int = 10) -> DataFrame:
     """rnk, handle, name, engagement: the handles whose posts drew most likes, reposts and quotes."""
-    by = webs.posts.groupBy("web_id", F.col("author.handle").alias("handle")).agg(F.sum(engagement()).alias("engagement"), F.min(_place()).alias("first"), F.min_by(author_name(F.col("author")), _place()).alias("name"))
-    return top(by, k, F.desc("engagement"), "first").select("web_id", "rnk", "handle", "name", "engagement")
+    return top(_by_handle(webs, "engagement", engagement()), k, F.desc("engagement"), "first").select("web_id", "rnk", "handle", "name", "engagement")
 
 
 def leading_authors(tallies: DataFrame, by: str, k: int = 10) -> DataFrame:
