@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.positions import numbered, suffix_sums
 from loomgraph.schema import Webs
-from loomgraph.store import Scratch
+from loomgraph.store import Scratch, dealt
 
 #: Posts of a web up to which one task walks it.
 WALK_IN_TASK = 200_000
@@ -59,11 +59,11 @@ def _climbed(up: DataFrame, scratch: Scratch, bits: int) -> DataFrame:
     now = scratch.save(up.select("web_id", "at", F.col("above").alias("top")), "climb")
     for _ in range(bits):
         further = now.select("web_id", F.col("at").alias("top"), F.col("top").alias("further"))
-        now = scratch.save(now.join(further, ["web_id", "top"], "left").select("web_id", "at", F.coalesce("further", "top").alias("top"), F.col("further").isNotNull().alias("more")), "climb")
+        now = scratch.save(now.join(dealt(further), ["web_id", "top"], "left").select("web_id", "at", F.coalesce("further", "top").alias("top"), F.col("further").isNotNull().alias("more")), "climb")
         if now.where("more").isEmpty():
             return now
         now = now.drop("more")
-    return now.join(up.select("web_id", F.col("at").alias("top"), F.lit(True).alias("more")), ["web_id", "top"], "left").na.fill(False, ["more"])
+    return now.join(dealt(up.select("web_id", F.col("at").alias("top"), F.lit(True).alias("more"))), ["web_id", "top"], "left").na.fill(False, ["more"])
 
 
 def tree_roots(webs: Webs, scratch: Scratch) -> DataFrame:
@@ -74,7 +74,7 @@ def tree_roots(webs: Webs, scratch: Scratch) -> DataFrame:
     lead into circles; what 2^rounds steps lead to is on one, and a second climb ends where a circle is entered.
     """
     parents = webs.nodes("reply_parent").select("web_id", F.col("uri").alias("at"), F.col("reply_parent").alias("above"))
-    up = scratch.save(parents.join(parents.select("web_id", F.col("at").alias("above")), ["web_id", "above"]).where("at <> above").select("web_id", "at", "above"), "up")
+    up = scratch.save(parents.join(dealt(parents.select("web_id", F.col("at").alias("above"))), ["web_id", "above"]).where("at <> above").select("web_id", "at", "above"), "up")
     most = up.groupBy("web_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     tops = _climbed(up, scratch, int(most).bit_length())
     starts = webs.webs.select("web_id", F.col("root_uri").alias("start_uri"))
@@ -102,7 +102,7 @@ def child_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     times = nodes.select("web_id", F.col("uri").alias("child"), "created_at")
     heads = nodes.select("web_id", F.col("uri").alias("parent"))
     key = F.struct("kind", "created_at", "o1", "o2")
-    once = replies.unionByName(quotes).join(times, ["web_id", "child"]).join(heads, ["web_id", "parent"]).groupBy("web_id", "parent", "child").agg(F.min(key).alias("key"))
+    once = replies.unionByName(quotes).join(dealt(times), ["web_id", "child"]).join(dealt(heads), ["web_id", "parent"]).groupBy("web_id", "parent", "child").agg(F.min(key).alias("key"))
     rank = F.row_number().over(Window.partitionBy("web_id", "parent").orderBy("key"))
     return once.select("web_id", "parent", "child", F.col("key.kind").alias("kind"), rank.alias("rank"))
 
@@ -162,14 +162,14 @@ def _sections(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
     several edges lead to; these are settled by rounds over the edges between such stretches.
     """
     single = edges.groupBy("child").agg(F.count("*").alias("ways"), F.min("parent").alias("above")).select("child", "ways", F.when(F.col("ways") == 1, F.col("above")).alias("above"))
-    now = nodes.join(single, F.col("id") == F.col("child"), "left")
+    now = nodes.join(dealt(single), F.col("id") == F.col("child"), "left")
     now = scratch.save(now.select("web_id", "id", "own", F.col("own").alias("low"), F.col("above").alias("top"), F.coalesce("ways", F.lit(0)).alias("ways")), "low")
     most = nodes.groupBy("web_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     head = F.lit(None).cast("bigint")
     now = now.withColumn("head", F.when(F.col("top").isNull(), F.col("id")).otherwise(head))
     for _ in range(int(most).bit_length() + 1):
         above = now.select(F.col("id").alias("top"), F.col("low").alias("_low"), F.col("top").alias("_top"), F.col("head").alias("_head"))
-        now = scratch.save(now.join(above, "top", "left").select("web_id", "id", "own", F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("_top").alias("top"), "ways", F.coalesce("head", "_head").alias("head")), "low")
+        now = scratch.save(now.join(dealt(above), "top", "left").select("web_id", "id", "own", F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("_top").alias("top"), "ways", F.coalesce("head", "_head").alias("head")), "low")
         if now.where("top is not null").isEmpty():
             break
     shared = now.where("ways > 1")
@@ -200,7 +200,7 @@ def _listed(trees: DataFrame, scratch: Scratch) -> DataFrame:
     placed = scratch.save(numbered(trees.withColumn("_parent", F.coalesce("parent", F.lit(-1))), ["list", "_parent"], ["key"], scratch, "k"), "siblings")
     first = placed.where("k = 1 and parent is not null").select(F.col("parent").alias("id"), (2 * F.col("id")).alias("inner"))
     following = placed.select("list", "_parent", (F.col("k") - 1).alias("k"), (2 * F.col("id")).alias("beside"))
-    steps = placed.join(first, "id", "left").join(following, ["list", "_parent", "k"], "left")
+    steps = placed.join(dealt(first), "id", "left").join(dealt(following), ["list", "_parent", "k"], "left")
     root = F.col("parent").isNull().cast("bigint")
     enter = F.struct((2 * F.col("id")).alias("id"), F.coalesce("inner", 2 * F.col("id") + 1).alias("next"), F.lit(1).alias("posts"), root.alias("roots"), F.lit(1).alias("open"))
     leave = F.struct((2 * F.col("id") + 1).alias("id"), F.coalesce("beside", 2 * F.col("parent") + 1).alias("next"), F.lit(0).alias("posts"), F.lit(0).alias("roots"), F.lit(-1).alias("open"))
@@ -220,16 +220,16 @@ def _chosen(candidates: DataFrame, sections: DataFrame, scratch: Scratch) -> Dat
         return candidates
     sure = scratch.save(candidates.join(several, "child", "left_anti"), "sure")
     open_ = scratch.save(candidates.join(several, "child").withColumn("way", F.monotonically_increasing_id()), "open")
-    tops = scratch.save(sections.select("id").join(sure.select(F.col("child").alias("id"), F.col("parent").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("top")), "tops")
+    tops = scratch.save(sections.select("id").join(dealt(sure.select(F.col("child").alias("id"), F.col("parent").alias("up"))), "id", "left").select("id", F.coalesce("up", "id").alias("top")), "tops")
     while True:
-        after = tops.join(tops.select(F.col("id").alias("top"), F.col("top").alias("further")), "top").select("id", F.col("further").alias("top"), (F.col("further") != F.col("top")).alias("moved"))
+        after = tops.join(dealt(tops.select(F.col("id").alias("top"), F.col("top").alias("further"))), "top").select("id", F.col("further").alias("top"), (F.col("further") != F.col("top")).alias("moved"))
         after = scratch.save(after, "tops")
         tops = after.drop("moved")
         if after.where("moved").isEmpty():
             break
     # an edge to a post of several is a leaf of its stretch; ids of leaves follow those of posts
     leaf = sections.agg(F.max("id")).first()[0] + 1
-    rows = tops.join(sure.select(F.col("child").alias("id"), "parent", F.col("rank").cast("bigint").alias("key")), "id", "left").select(F.col("top").alias("list"), "id", "parent", F.coalesce("key", F.lit(0)).alias("key"))
+    rows = tops.join(dealt(sure.select(F.col("child").alias("id"), "parent", F.col("rank").cast("bigint").alias("key"))), "id", "left").select(F.col("top").alias("list"), "id", "parent", F.coalesce("key", F.lit(0)).alias("key"))
     leaves = open_.join(tops.select(F.col("id").alias("parent"), F.col("top").alias("list")), "parent").select("list", (F.col("way") + leaf).alias("id"), "parent", F.col("rank").cast("bigint").alias("key"))
     sums = _listed(rows.unionByName(leaves), scratch)
     sizes = rows.select("list").union(leaves.select("list")).groupBy("list").agg(F.count("*").alias("size"))
@@ -259,20 +259,20 @@ def ranked_walk(nodes: DataFrame, children: DataFrame, starts: DataFrame, scratc
     posts = nodes.select("web_id", "uri", "thread_ord", "post_ord").join(begun, ["web_id", "uri"], "left")
     posts = scratch.save(posts.select("web_id", "uri", own.alias("own")).withColumn("id", F.monotonically_increasing_id()), "posts")
     ends = {x: posts.select("web_id", F.col("uri").alias(x), F.col("id").alias(f"{x}_id"), F.col("own").alias(f"{x}_own")) for x in ("parent", "child")}
-    edges = children.where("parent <> child").join(ends["parent"], ["web_id", "parent"]).join(ends["child"], ["web_id", "child"])
+    edges = children.where("parent <> child").join(dealt(ends["parent"]), ["web_id", "parent"]).join(dealt(ends["child"]), ["web_id", "child"])
     edges = scratch.save(edges.select(F.col("parent_id").alias("parent"), F.col("child_id").alias("child"), "kind", "rank", (F.col("parent_own") >= F.col("child_own")).alias("backward")), "edges")
     if edges.where("backward").isEmpty() and edges.groupBy("child").count().where("count > 1").isEmpty():
         taken = edges
     else:
         sections = scratch.save(_sections(posts.select("web_id", "id", "own"), edges, scratch), "sections")
         of = {x: sections.select(F.col("id").alias(x), F.col("section").alias(f"{x}_section"), F.col("own").alias(f"{x}_own")) for x in ("parent", "child")}
-        inside = edges.join(of["parent"], "parent").join(of["child"], "child").where("parent_section = child_section and child_own <> child_section")
+        inside = edges.join(dealt(of["parent"]), "parent").join(dealt(of["child"]), "child").where("parent_section = child_section and child_own <> child_section")
         taken = scratch.save(_chosen(scratch.save(inside.select("parent", "child", "kind", "rank"), "inside"), sections, scratch), "taken")
-    trees = posts.join(taken.select(F.col("child").alias("id"), "parent", "kind", "rank"), "id", "left")
+    trees = posts.join(dealt(taken.select(F.col("child").alias("id"), "parent", "kind", "rank")), "id", "left")
     trees = scratch.save(trees.select(F.col("web_id").alias("list"), "uri", "id", "parent", "kind", F.struct(F.coalesce(F.col("rank").cast("bigint"), F.lit(0)).alias("rank"), F.when(F.col("parent").isNull(), F.col("own")).alias("own")).alias("key")), "trees")
     sums = _listed(trees.select("list", "id", "parent", "key"), scratch)
     first = posts.groupBy(F.col("web_id").alias("list")).agg(F.count("*").alias("n"), F.min("own.later").alias("first"))
     roots = trees.where("parent is null").groupBy("list").agg(F.count("*").alias("r"))
     tag = F.when(F.col("parent").isNull(), "[root]").when(F.col("kind") == 1, "[quote]").otherwise("[reply]")
     section = F.col("first") + F.col("r") - F.col("roots") + F.col("parent").isNull().cast("bigint") - 1
-    return trees.join(sums, "id").join(first, "list").join(roots, "list").select(F.col("list").alias("web_id"), (F.col("n") - F.col("posts") + 1).cast("bigint").alias("seq"), section.cast("bigint").alias("section"), (-F.col("open")).cast("bigint").alias("depth"), tag.alias("tag"), "uri")
+    return trees.join(dealt(sums), "id").join(first, "list").join(roots, "list").select(F.col("list").alias("web_id"), (F.col("n") - F.col("posts") + 1).cast("bigint").alias("seq"), section.cast("bigint").alias("section"), (-F.col("open")).cast("bigint").alias("depth"), tag.alias("tag"), "uri")

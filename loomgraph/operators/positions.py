@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.store import Scratch
+from loomgraph.store import Scratch, dealt
 
 _ROWS = 33  # bits of a row's place in its partition, as monotonically_increasing_id gives it
 
@@ -41,7 +41,7 @@ def suffix_sums(items: DataFrame, scratch: Scratch) -> DataFrame:
     while not now.where("next is not null").isEmpty():
         ahead = now.select(F.col("id").alias("next"), F.col("next").alias("_next"), *[F.col(c).alias(f"_{c}") for c in names])
         summed = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in names]
-        now = scratch.save(now.join(ahead, "next", "left").select("id", F.col("_next").alias("next"), *summed), "list")
+        now = scratch.save(now.join(dealt(ahead), "next", "left").select("id", F.col("_next").alias("next"), *summed), "list")
     return now.select("id", *names)
 
 

@@ -59,6 +59,12 @@ def create_file(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A table that grows with its web: a join with it deals both sides by key, and doesn't send it whole to the driver
+    and from there to every task."""
+    return table.hint("merge")
+
+
 class Scratch:
     """A folder for one job's tables, under ``spark.checkpoint.dir``; where that is unset, under a temporary
     folder on a local master, and an error on a cluster, whose executors wouldn't share one."""
