@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from loomgraph.llm import language_id, packing, quality, secrets, sharding, token_files
 from loomgraph.llm.decontamination import Decontamination, decontaminated, find_items
-from loomgraph.llm.line_dedup import LineDedup, across_components, dedup_lines
+from loomgraph.llm.line_dedup import LineDedup, _may_reach, _sharing, across_components, dedup_lines, line_marks
 from loomgraph.llm.near_dups import NearDups, near_duplicates, shingle_sets
 from loomgraph.llm.scratch import Scratch
 from loomgraph.llm.tokens import WordEncoder
@@ -405,3 +405,19 @@ def test_blob_addresses_are_sha256(spark):
     rows = spark.createDataFrame([("abc",)], "content string")
     found = secrets.scan_versions(rows, f"{Scratch(spark, 'test').root}/ledger").first()
     assert found.blob == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_marks_and_lone_shingles_sift_unlike_lines_and_no_others(spark):
+    rng = random.Random(34)
+    how, common = LineDedup(), words(60, 78)
+    lines = sorted({" ".join(w if rng.random() > (i % 10) / 60 else f"x{rng.random()}" for w in common) for i in range(150)})
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    like = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    texts = spark.createDataFrame(list(enumerate(lines)), "key long, line string").repartition(3)
+    marks = line_marks(texts, how)
+    assert {r.key: r.n for r in marks.collect()} == {k: len(s) for k, s in enumerate(sets)}
+    pairs = marks.toDF("u", "n", "a").join(marks.toDF("v", "m", "b"), F.col("u") < F.col("v"))
+    may = {(r.u, r.v) for r in pairs.where(_may_reach(F.col("n"), F.col("m"), F.col("a"), F.col("b"), how)).collect()}
+    assert like and like <= may and len(may - like) < (len(sets) * (len(sets) - 1) // 2 - len(like)) / 2
+    kept = {r.key for r in _sharing(texts.select("key", F.col("key").alias("component")), texts, marks, how, Scratch(spark, "test")).collect()}
+    assert {x for p in like for x in p} <= kept and len(kept) < len(lines)
