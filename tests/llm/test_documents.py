@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from loomgraph.llm import scratch as scratch_module
 from loomgraph.llm import language_id, packing, quality, secrets, sharding, token_files
 from loomgraph.llm.decontamination import Decontamination, decontaminated, find_items
 from loomgraph.llm.line_dedup import LineDedup, _may_reach, _sharing, across_components, dedup_lines, line_marks
@@ -421,3 +423,17 @@ def test_marks_and_lone_shingles_sift_unlike_lines_and_no_others(spark):
     assert like and like <= may and len(may - like) < (len(sets) * (len(sets) - 1) // 2 - len(like)) / 2
     kept = {r.key for r in _sharing(texts.select("key", F.col("key").alias("component")), texts, marks, how, Scratch(spark, "test")).collect()}
     assert {x for p in like for x in p} <= kept and len(kept) < len(lines)
+
+
+def test_texts_of_all_lines_are_dropped_and_pairs_name_their_components(spark):
+    lines = [" ".join(words(30, 600 + k // 2)) + (" and so on" if k % 2 else "") for k in range(40)]
+    scratch_module.opened()
+    out = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_removed} == set(range(1, 40, 2))
+    (scratch,) = scratch_module.opened()
+    left = {p.name[4:] for p in Path(scratch.root.removeprefix("file://")).iterdir()}
+    assert {"places", "spots", "texts"} <= left and not {"own", "lines"} & left
+    texts = spark.createDataFrame(list(enumerate(lines)), "key long, line string")
+    apart = texts.select("key", (F.col("key") + 100).alias("component"))
+    rows = across_components(apart, texts, LineDedup(), Scratch(spark, "test")).collect()
+    assert {(2 * k, 2 * k + 1) for k in range(20)} <= {(r.u, r.v) for r in rows} and all((r.one, r.other) == (r.u + 100, r.v + 100) for r in rows)
