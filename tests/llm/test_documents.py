@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from loomgraph.llm import scratch as scratch_module
 from loomgraph.llm import language_id, packing, quality, secrets, sharding, token_files
 from loomgraph.llm.decontamination import Decontamination, decontaminated, find_items
-from loomgraph.llm.line_dedup import LineDedup, _may_reach, _sharing, across_components, dedup_lines, line_marks
+from loomgraph.llm.line_dedup import LineDedup, _may_reach, _sharing, across_components, dedup_lines, line_marks, shared_bands
 from loomgraph.llm.near_dups import NearDups, near_duplicates, shingle_sets
 from loomgraph.llm.scratch import Scratch
 from loomgraph.llm.tokens import WordEncoder
@@ -437,3 +437,13 @@ def test_texts_of_all_lines_are_dropped_and_pairs_name_their_components(spark):
     apart = texts.select("key", (F.col("key") + 100).alias("component"))
     rows = across_components(apart, texts, LineDedup(), Scratch(spark, "test")).collect()
     assert {(2 * k, 2 * k + 1) for k in range(20)} <= {(r.u, r.v) for r in rows} and all((r.one, r.other) == (r.u + 100, r.v + 100) for r in rows)
+
+
+def test_bands_are_shared_lot_by_lot(spark):
+    rng = random.Random(36)
+    bands = [[f * 50 + rng.randint(0, 20 + 3 * f) for f in range(10)] for _ in range(60)]
+    scratch = Scratch(spark, "test")
+    got = shared_bands(spark.createDataFrame(list(enumerate(bands)), "key long, bands array<long>").repartition(3), LineDedup(), scratch)
+    size = Counter(b for own in bands for b in own)
+    assert sorted((r.band, r.key, r.size) for r in got.collect()) == sorted((b, k, size[b]) for k, own in enumerate(bands) for b in own if size[b] > 1)
+    assert sorted(p.name[4:] for p in Path(scratch.root.removeprefix("file://")).iterdir()) == ["shared", "shared"]
