@@ -28,6 +28,8 @@ _ODD = 0xD6E8FEB86659FD93
 _SHORT = 32  # documents of an inverted list whose pairs are looked at one by one
 _BATCH_BYTES = 1 << 19
 _BLOCK = 256  # documents of a group that meet in one task at a time
+_LIST_BLOCK = 1024  # documents of a long inverted list that meet at a time, by their sketches
+_WORDS = 8  # words of 64 bits of a sketch's mark
 
 
 @dataclass(frozen=True)
@@ -118,15 +120,16 @@ def sketched(documents: DataFrame, how: NearDups) -> DataFrame:
 
 
 def candidate_edges(sketches: DataFrame, how: NearDups, scratch: Scratch) -> DataFrame:
-    """Edges (u, v) that join all documents that may be linked: of an inverted list of up to 32 documents the
-    pairs whose sketches' union lets it be, of a longer one from its first to all others.
+    """Edges (u, v) that join all documents that may be linked: the pairs whose sketches' union lets it be, of an
+    inverted list of up to 32 documents all, of a longer one as many as join the same documents.
 
     Two linked sketches share ``least`` values (for sets smaller than a sketch, the overlap that the
     threshold asks for, which is two or more: smaller sets are equal or not linked). So, of a document's
     values in order of rarity, all but its last ``least - 2`` suffice: linked documents share two of these, so
-    a pair that meets in one short list and no other is none, unless a long list joins it. Values that one
+    a pair that meets in one short list and no other is none, unless it meets in a long one, too. Values that one
     document alone holds come first and make no list, so most documents drop out. A very common value is among
-    a document's rarest only where most of its sketch is as common.
+    a document's rarest only where most of its sketch is as common; the longer lists become with the corpus, the
+    fewer of their documents are alike, so meeting in one joins nobody by itself.
     """
     least = F.least(F.lit(how.least), F.ceil(F.col("n_shingles") * how.percent / 100.0)).cast("short").alias("least")
     posts = sketches.select("doc_id", least, F.explode("sketch").alias("value"))
@@ -135,8 +138,9 @@ def candidate_edges(sketches: DataFrame, how: NearDups, scratch: Scratch) -> Dat
     room = F.when(F.size("values") >= F.col("least"), F.least(F.size("values") - F.col("least") + 2, F.size("values"))).otherwise(0)
     heads = ranked.where(room > 0).select("doc_id", F.explode(F.slice("values", F.lit(1), room)).alias("head"))
     lists = scratch.save(heads.select("doc_id", "head.value"), "lists")
-    sizes = lists.groupBy("value").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1")
+    sizes = lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     sized = scratch.save(lists.join(sizes, "value"), "sized")
+    scratch.drop(lists)
     all_of = sized.where(F.col("size") <= _SHORT).groupBy("value").agg(F.sort_array(F.collect_list("doc_id")).alias("all")).select(F.posexplode("all").alias("i", "u"), "all")
     pairs = all_of.select("u", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("v"))
     pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("n")).where("n > 1").select("u", "v")
@@ -149,8 +153,80 @@ def candidate_edges(sketches: DataFrame, how: NearDups, scratch: Scratch) -> Dat
     left = sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a"))
     right = sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b"))
     alike = pairs.join(left, "u").join(right, "v").where(estimate("a", "b") * how.k >= how.least - 0.5).select("u", "v")
-    long = sized.where((F.col("size") > _SHORT) & (F.col("doc_id") != F.col("first"))).select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
-    return alike.union(long)
+    long = sized.where(F.col("size") > _SHORT).select(F.col("doc_id").alias("node"), F.col("value").alias("component"))
+    return alike.union(_alike_in(long, sketches, how))
+
+
+def sketch_marks(sketches: list[np.ndarray]) -> np.ndarray:
+    """512 bits for each sketch that say of how many of its values, dealt by their low bits, the number is odd. The bits
+    in which two marks differ are no more than the values that one of the sketches has and the other hasn't."""
+    out = np.zeros((len(sketches), _WORDS), np.uint64)
+    values, row = np.concatenate(sketches), np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
+    np.bitwise_xor.at(out, (row, (values >> np.uint64(6) & np.uint64(_WORDS - 1)).astype(np.int64)), np.uint64(1) << (values & np.uint64(63)))
+    return out
+
+
+def sketch_forest(n: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, near: np.ndarray, how: NearDups) -> list[tuple[int, int]]:
+    """As many of the pairs (i, j) of sets that may be linked as join the same sets: each set reached is compared with
+    those that none has reached yet. Of two sides, only sets of different ones meet, and of two sets one is ``near``."""
+    marks, k = sketch_marks(sketches), np.array([len(x) for x in sketches], np.int64)
+    least, both, out = np.minimum(how.least, -(-how.percent * n // 100)), side.min() != side.max(), []
+    left = np.arange(len(n))
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            ok = (100 * np.minimum(n[left], n[i]) >= how.percent * np.maximum(n[left], n[i])) & (near[left] | near[i])
+            if both:
+                ok &= side[left] != side[i]
+            at = np.flatnonzero(ok)
+            j = left[at]
+            # sketches that hold whole sets share what the threshold asks for
+            shared = np.where(np.maximum(n[j], n[i]) <= how.k, -(-how.percent * (n[j] + n[i]) // (100 + how.percent)), np.maximum(least[j], least[i]))
+            may = np.bitwise_count(marks[j] ^ marks[i]).sum(1, dtype=np.int64) <= k[j] + k[i] - 2 * shared
+            may[may] = [len(np.intersect1d(sketches[i], sketches[x], assume_unique=True)) >= y for x, y in zip(j[may].tolist(), shared[may].tolist(), strict=True)]
+            if len(at := at[may]):
+                found = _estimates([sketches[i]], [sketches[x] for x in left[at].tolist()], np.stack([np.zeros(len(at), np.int64), np.arange(len(at))], 1), how.k)
+                at = at[found * how.k >= how.least - 0.5]
+                reached += left[at].tolist()
+                out += [(i, x) for x in left[at].tolist()]
+                left = np.delete(left, at)
+    return out
+
+
+def _alike_in(groups: DataFrame, sketches: DataFrame, how: NearDups) -> DataFrame:
+    """Edges (u, v) that join the documents of the same group (node, component) whose sketches' union lets them be linked."""
+    keys = ["group", "level", "x", "y"]
+
+    def settle(rows: list) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        side, near, ids, n, sets = zip(*rows, strict=True)
+        forest = sketch_forest(np.array(n, np.int64), list(sets), np.array(side), np.array(near), how)
+        return [(ids[i], ids[j]) for i, j in forest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def out(edges):
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            column, edges = batch.column("sketch"), []
+            values, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_pylist()
+            heads = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+            own = zip(*(batch.column(c).to_pylist() for c in ("side", "near", "doc_id", "n_shingles")), strict=True)
+            for k, (key, row) in enumerate(zip(heads, own, strict=True)):
+                if key != now:
+                    edges += settle(rows)
+                    now, rows = key, []
+                rows.append((*row, values[ends[k] : ends[k + 1]].copy()))
+            yield out(edges)
+        yield out(settle(rows))
+
+    met = _meetings(groups, sketches, how, _LIST_BLOCK).join(sketches.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    tasks = max(1, int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -223,21 +299,21 @@ def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _meetings(groups: DataFrame, sketches: DataFrame, how: NearDups) -> DataFrame:
+def _meetings(groups: DataFrame, sketches: DataFrame, how: NearDups, block: int = _BLOCK) -> DataFrame:
     """Which documents meet in which task: doc_id, meeting (group, level, x, y), side, near.
 
-    A group of up to 256 meets whole. A larger one is split by size into levels of a factor percent/100,
+    A group of up to ``block`` meets whole. A larger one is split by size into levels of a factor percent/100,
     of which only equal and neighbouring ones can be linked; the documents of two neighbouring levels are
-    dealt into blocks of about 256, and any two blocks meet. ``near``: the lower level's documents; two
+    dealt into blocks of about as many, and any two blocks meet. ``near``: the lower level's documents; two
     others meet one level up.
     """
     members = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group")).join(sketches.select("doc_id", "n_shingles"), "doc_id")
     sizes = members.groupBy("group").agg(F.count("*").alias("size"))
     members = members.join(sizes, "group")
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(-np.log(how.percent / 100)))).cast("int")
-    whole = members.where(F.col("size") <= _BLOCK).select("doc_id", "group", F.lit(-9).alias("level"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), F.lit(True).alias("near"))
-    large = members.where(F.col("size") > _BLOCK).withColumn("own", level).select("doc_id", "group", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("level"))
-    counts = large.groupBy("group", "level").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    whole = members.where(F.col("size") <= block).select("doc_id", "group", F.lit(-9).alias("level"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), F.lit(True).alias("near"))
+    large = members.where(F.col("size") > block).withColumn("own", level).select("doc_id", "group", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("level"))
+    counts = large.groupBy("group", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = large.join(counts, ["group", "level"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     each = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     split = each.select("doc_id", "group", "level", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).cast("int").alias("side"), (F.col("own") == F.col("level")).alias("near"))
@@ -297,11 +373,13 @@ def near_duplicates(documents: DataFrame, how: NearDups = NearDups()) -> DataFra
     first = F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("first")
     sets = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(first).select("set_key", "first.*")
     sets = scratch.save(sets, "sets")
+    keys = scratch.save(rows.select("doc_id", "n_shingles", "set_key"), "keys")
+    scratch.drop(rows)  # the sketches of different sets are in ``sets``
     groups = connected_components(candidate_edges(sets, how, scratch), scratch)
     edges = scratch.save(link_edges(groups, sets, documents, how), "links")
     found = connected_components(edges, scratch).select(F.col("node").alias("first"), "component")
     firsts = sets.select("set_key", F.col("doc_id").alias("first")).join(found, "first", "left").select("set_key", F.coalesce("component", "first").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(firsts, "set_key", "left")
+    out = keys.join(firsts, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

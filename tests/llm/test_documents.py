@@ -17,7 +17,7 @@ from loomgraph.llm import scratch as scratch_module
 from loomgraph.llm import language_id, packing, quality, secrets, sharding, token_files
 from loomgraph.llm.decontamination import Decontamination, decontaminated, find_items
 from loomgraph.llm.line_dedup import LineDedup, _may_reach, _sharing, across_components, dedup_lines, line_marks, shared_bands
-from loomgraph.llm.near_dups import NearDups, near_duplicates, shingle_sets
+from loomgraph.llm.near_dups import NearDups, candidate_edges, near_duplicates, shingle_sets, sketch_forest, sketched
 from loomgraph.llm.scratch import Scratch
 from loomgraph.llm.tokens import WordEncoder
 
@@ -279,6 +279,33 @@ def test_a_large_group_of_near_copies_meets_in_blocks(spark):
     assert len(set(expected.values())) > 5  # some stand alone
 
 
+def test_documents_of_a_long_list_are_joined_only_where_their_sketches_are_alike(spark):
+    rng, vocabulary = random.Random(12), [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 100))) for i in range(200)]
+    rows += [(200 + i, rows[i][1].replace(" ", f" new{i} ", 1)) for i in range(0, 200, 20)]
+    how, scratch = NearDups(words=1), Scratch(spark, "test")
+    sketches = sketched(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), how).select("doc_id", "n_shingles", "sketch")
+    found = {(min(r.u, r.v), max(r.u, r.v)) for r in candidate_edges(scratch.save(sketches, "sets"), how, scratch).collect()}
+    assert found >= {(i, 200 + i) for i in range(0, 200, 20)}
+    assert len(found) < 20  # many lists hold over 32 documents
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_a_forest_of_sketches_joins_what_all_pairs_join(sides):
+    rng, how = np.random.default_rng(5), NearDups()
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > rng.random() / 3], rng.integers(0, 1 << 62, 12).astype(np.uint64)])) for _ in range(120)]
+    sets += [x[:40] for x in sets[:20]]
+    n, heads = np.array([len(x) for x in sets]), [x[:64] for x in sets]
+    side, near = np.arange(len(sets)) % 2 if sides else np.zeros(len(sets), int), rng.random(len(sets)) < 0.7
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and (near[i] or near[j]) and (side[i] != side[j] or not sides)]
+    alike = [(i, j) for i, j in pairs if min(n[i], n[j]) >= 64 and len(np.intersect1d(np.union1d(heads[i], heads[j])[:64], np.intersect1d(heads[i], heads[j]))) >= 32]
+    alike += [(i, j) for i, j in pairs if min(n[i], n[j]) < 64 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    forest = sketch_forest(n, heads, side, near, how)
+    assert 20 < len(forest) < len(alike)
+    assert components(range(len(sets)), forest) == components(range(len(sets)), alike)
+
+
 def brute_lines(rows, how):
     keys, spots = {}, defaultdict(list)
     for doc_id, text in rows:
