@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomgraph.llm import scratch as scratch_module
-from loomgraph.llm import language_id, packing, quality, secrets, sharding, token_files
+from loomgraph.llm import language_id, line_dedup, packing, quality, secrets, sharding, token_files
 from loomgraph.llm.decontamination import Decontamination, decontaminated, find_items
 from loomgraph.llm.line_dedup import LineDedup, _may_reach, _sharing, across_components, dedup_lines, line_marks, shared_bands
 from loomgraph.llm.near_dups import NearDups, candidate_edges, near_duplicates, shingle_sets, sketch_forest, sketched
@@ -393,6 +393,22 @@ def test_components_of_a_long_list_meet_in_blocks(spark):
     assert want and want <= found
 
 
+def test_shingles_are_shuffled_lot_by_lot(spark, monkeypatch):
+    rng = random.Random(33)
+    common = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(110))
+    lines = sorted({common[: rng.randint(60, 110)] + "".join(rng.choice("abc") for _ in range(rng.randint(5, 22))) for _ in range(100)})
+    texts = spark.createDataFrame(list(enumerate(lines)), "key long, line string").repartition(3)
+    apart = texts.select("key", F.col("key").alias("component"))
+    want = sorted(across_components(apart, texts, LineDedup(), Scratch(spark, "test")).collect())
+    monkeypatch.setattr(line_dedup, "_LOT", 1000)
+    monkeypatch.setattr(line_dedup, "_WIDE", 16)
+    scratch = Scratch(spark, "test")
+    got = across_components(apart, texts, LineDedup(), scratch)
+    lots = Counter(p.name[4:] for p in Path(scratch.root.removeprefix("file://")).iterdir())
+    assert want and sorted(got.collect()) == want
+    assert lots["alone"] > 1 and lots["heads"] > 1 and lots["met"] > 1 and not lots["shingles"] and not lots["common"]
+
+
 def test_decontamination(spark, documents, nothing):
     items = [" ".join(words(20 + 3 * k, 900 + k)) for k in range(8)] + ["tiny item", "", None, "one two three four five six seven"]
     benchmark = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)] + [(None, items[0], 1)], "item_id long, text string, row int")
